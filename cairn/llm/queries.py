@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import brown, factorisation, line_dedup, packing, pieces, quality_rules, secrets, sharding, simhash
+from cairn.llm import brown, factorisation, line_dedup, nn_descent, packing, pieces, quality_rules, secrets, sharding, simhash
 from cairn.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.model_bytes(), ids=False)
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -58,6 +62,7 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_embedding_neardup": op3_embedding_neardup,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_quality_classifier": op6_quality_classifier,
