@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cairn.llm.common import settle, ship, text_of
 
@@ -142,7 +143,7 @@ def mask(text: str, spans: str) -> str:
     return "".join(out) + text[upto:]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _masked(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([t if not isinstance(x, str) or t is None else mask(t, x) for t, x in zip(text, spans)], dtype=object)
 
