@@ -1,6 +1,182 @@
-"""Queries over the driver's tables and their SQL oracles, by name."""
+"""Queries over the driver's tables and their SQL oracles, by name.
+
+Every query is an operator applied to the catalog projection of a driver folder; every
+oracle is written against the same projection in DuckDB SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cairn.functions import paths as p
+from cairn.functions import scalars as s
+from cairn.operators import aggregates as a
+from cairn.operators import diffs as d
+from cairn.operators import gate as g
+from cairn.operators import integrity, tree
+from cairn.operators import joins as j
+from cairn.operators import lookups as k
+from cairn.operators import mutations as m
+from cairn.operators import ranking as w
+from cairn.plans import views
+from cairn.plans.projection import PREFIX, Catalog, duck
+from cairn.sources import files as src
+from cairn.sources import sinks
+from cairn.streaming import streams as t
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+NOW = 1705300000000000000
+DAY = 86400 * 10**9
+
+
+def q(name: str, run: Callable[[Catalog], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(Catalog(spark, sf_dir))
+    if sql is not None:
+        ORACLES[name] = duck(sql)
+
+
+# Lookups and filters
+
+q("p1_live_at", lambda c: k.live_at(c, 1, "en/src0/f5.txt").select("id", "path", "blake3", "status"), "SELECT id, path, blake3, status FROM live_rows WHERE volume_id = 1 AND path = 'en/src0/f5.txt'")
+q("p2_by_absolute_path", lambda c: k.by_absolute_path(c, views.live_rows(c).join(c.volumes.select(F.col("id").alias("volume_id"), F.col("path").alias("root")), "volume_id").select(F.concat_ws("/", "root", "path").alias("abs"))).select("abs", "volume_id", "path", "id"),
+  "SELECT concat(v.path, '/', l.path) AS abs, l.volume_id, l.path, l.id FROM live_rows l JOIN volumes v ON v.id = l.volume_id")
+q("p3_relative", lambda c: c.volumes.crossJoin(F.broadcast(c.volumes.where("id <= 5").select(F.col("path").alias("base")))).select("id", "base", p.relative(F.col("base"), F.col("path")).alias("rel")),
+  "SELECT v.id, b.path AS base, CASE WHEN v.path = b.path THEN '.' WHEN starts_with(v.path, concat(b.path, '/')) THEN substring(v.path, length(b.path) + 2) END AS rel FROM volumes v, volumes b WHERE b.id <= 5")
+q("p4_history", lambda c: k.history_at(c, 1, "en/src0/f5.txt").select("id", "status", "first_seen_run_id"), "SELECT id, status, first_seen_run_id FROM all_rows WHERE volume_id = 1 AND path = 'en/src0/f5.txt'")
+q("p5_by_digest", lambda c: k.by_digest(c, "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855").select("id", "volume", "path"),
+  "SELECT r.id, v.name AS volume, r.path FROM all_rows r JOIN volumes v ON v.id = r.volume_id WHERE r.blake3 = 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'")
+q("p6_dedup_sources", k.dedup_sources, f"SELECT volume_id, blake3, min(path) AS path FROM live_rows WHERE status = 'present' AND lower(path) NOT LIKE '{PREFIX}conflicts/%' AND lower(path) NOT LIKE '{PREFIX}history/%' AND lower(path) NOT LIKE '{PREFIX}staging/%' GROUP BY 1, 2")
+q("p7_missing", lambda c: k.missing(c).select("id", "volume", "path"), "SELECT r.id, v.name AS volume, r.path FROM live_rows r JOIN volumes v ON v.id = r.volume_id WHERE r.status = 'missing'")
+q("p8_present_paths", lambda c: k.present_paths(c, 2), "SELECT DISTINCT path FROM live_rows WHERE volume_id = 2 AND status = 'present'")
+q("p9_in_folder", lambda c: k.present_in_folder(c, 30).select("id", "name"), "SELECT id, name FROM live_rows WHERE folder_id = 30 AND status = 'present'")
+q("p10_by_origin", lambda c: k.present_by_origin(c, None, 3).select("id", "path"), "SELECT id, path FROM live_rows WHERE status = 'present' AND volume_id = 3 AND origin_node_id IS NULL")
+q("p11_present_content", lambda c: k.present_content(c, 2).select("id", "path", "blake3"), "SELECT id, path, blake3 FROM present_rows WHERE volume_id = 2")
+q("p12_path_delta", lambda c: k.path_delta(c, 1, 20).select("path", "content_id", "status", "size_bytes"),
+  f"SELECT path, content_id, status, size_bytes FROM all_rows WHERE volume_id = 1 AND lower(path) NOT LIKE '{PREFIX}%' AND coalesce(status_changed_run_id, first_seen_run_id) > 20")
+q("p13_folder_by_path", lambda c: k.folder_by_path(c, 1, "en"), "SELECT * FROM folders WHERE volume_id = 1 AND path = 'en'")
+q("p14_child_folders", lambda c: k.child_folders(c, 1), "SELECT * FROM folders WHERE parent_id = 1")
+q("p15_folder_by_id", lambda c: k.by_id(c.folders, 7), "SELECT * FROM folders WHERE id = 7")
+q("p16_runs", lambda c: k.runs(c, 2, True, 25).select("id", "kind", "status"), "SELECT id, kind, status FROM runs WHERE volume_id = 2 ORDER BY id DESC LIMIT 25")
+q("p17_runs_by_peer", lambda c: k.runs_by_peer(c, 3, 20).select("id", "status"), "SELECT id, status FROM runs WHERE kind = 'sync' AND peer_node_id = 3 ORDER BY id DESC LIMIT 20")
+q("p18_run", lambda c: k.by_id(c.runs, 42).select("id", "kind", "status", "file_count"), "SELECT id, kind, status, file_count FROM runs WHERE id = 42")
+q("p19_audits_since", lambda c: k.audits_since(c, 3, 1704800000000000000).select("id", "started_at_ns"), "SELECT id, started_at_ns FROM runs WHERE kind = 'audit' AND volume_id = 3 AND started_at_ns > 1704800000000000000")
+q("p20_no_op", lambda c: c.runs.where(k.no_op()).select("id"), "SELECT id FROM runs WHERE status = 'success' AND coalesce(changed_count, file_count) = 0")
+q("p21_contested", lambda c: k.contested(c).select("volume_id", "path", "live_blake3"), "SELECT volume_id, path, live_blake3 FROM contested_paths")
+q("p22_contested_at", lambda c: k.at_key(c.contested_paths, volume_id=1).select("path", "raised_run_id"), "SELECT path, raised_run_id FROM contested_paths WHERE volume_id = 1")
+q("p23_contested_flags", lambda c: k.contested_flags(c, views.live_rows(c).select("volume_id", "path")), "SELECT l.volume_id, l.path, c.live_blake3, c.path IS NOT NULL AS contested FROM live_rows l LEFT JOIN contested_paths c USING (volume_id, path)")
+q("p24_alarms", lambda c: k.sorted_table(c.destination_alarms, "destination"), "SELECT * FROM destination_alarms")
+q("p25_alarm", lambda c: k.at_key(c.destination_alarms, destination="dest1"), "SELECT * FROM destination_alarms WHERE destination = 'dest1'")
+q("p26_component", lambda c: k.at_key(c.vectors, volume_id=2, destination="dest1", origin_node_id=2), "SELECT * FROM vectors WHERE volume_id = 2 AND destination = 'dest1' AND origin_node_id = 2")
+q("p27_vector", lambda c: k.at_key(c.vectors, volume_id=2, destination="dest1"), "SELECT * FROM vectors WHERE volume_id = 2 AND destination = 'dest1'")
+q("p28_volume_vectors", lambda c: k.at_key(c.vectors, volume_id=3), "SELECT * FROM vectors WHERE volume_id = 3")
+q("p29_vector_history", lambda c: k.sorted_table(k.at_key(c.vectors_history, volume_id=2, destination="dest1"), "id"), "SELECT * FROM vectors_history WHERE volume_id = 2 AND destination = 'dest1'")
+q("p30_freshness", lambda c: k.at_key(c.push_freshness, volume_id=1, destination="dest2"), "SELECT * FROM push_freshness WHERE volume_id = 1 AND destination = 'dest2'")
+q("p31_volume_freshness", lambda c: k.at_key(c.push_freshness, volume_id=4), "SELECT * FROM push_freshness WHERE volume_id = 4")
+q("p32_peer_state", lambda c: k.at_key(c.peer_sync_state, volume_id=1, peer_node_id=2), "SELECT * FROM peer_sync_state WHERE volume_id = 1 AND peer_node_id = 2")
+q("p33_peer_history", lambda c: k.sorted_table(k.at_key(c.peer_sync_history, volume_id=1, peer_node_id=3), "id"), "SELECT * FROM peer_sync_history WHERE volume_id = 1 AND peer_node_id = 3")
+q("p34_hook_runs", lambda c: k.hook_runs(c, 1, False, 15).select("id", "trigger", "status"), "SELECT id, \"trigger\", status FROM hook_runs WHERE volume_id = 1 ORDER BY id LIMIT 15")
+q("p35_run_audit", lambda c: k.sorted_table(k.at_key(c.runs_audit, run_id=17), "id"), "SELECT * FROM runs_audit WHERE run_id = 17")
+q("p36_remote_object", lambda c: k.at_key(c.remote_objects, content_id=4, destination="dest1").select("content_id", "checksum"), "SELECT content_id, checksum FROM remote_objects WHERE content_id = 4 AND destination = 'dest1'")
+q("p37_has_object", lambda c: k.exists_in(c.contents.select(F.col("id").alias("content_id")), c.remote_objects.where("destination = 'dest1'"), ["content_id"]), "SELECT id AS content_id FROM contents WHERE id IN (SELECT content_id FROM remote_objects WHERE destination = 'dest1')")
+q("p38_remote_pack", lambda c: k.at_key(c.remote_packs, pack_id=5), "SELECT * FROM remote_packs WHERE pack_id = 5")
+q("p39_pack_member", lambda c: k.at_key(c.pack_members, content_id=11), "SELECT * FROM pack_members WHERE content_id = 11")
+q("p40_has_pack", lambda c: k.exists_in(c.contents.select(F.col("id").alias("content_id")), c.pack_members, ["content_id"]), "SELECT id AS content_id FROM contents WHERE id IN (SELECT content_id FROM pack_members)")
+q("p41_pack_by_key", lambda c: k.at_key(c.packs, pack_key="pack3"), "SELECT * FROM packs WHERE pack_key = 'pack3'")
+q("p42_pack", lambda c: k.by_id(c.packs, 9), "SELECT * FROM packs WHERE id = 9")
+q("p43_pack_members", lambda c: k.sorted_table(k.at_key(c.pack_members, pack_id=9), "offset_bytes"), "SELECT * FROM pack_members WHERE pack_id = 9")
+q("p44_self_node", k.self_node, "SELECT * FROM nodes WHERE endpoint IS NULL")
+q("p45_node_by_name", lambda c: c.nodes.join(c.nodes.where("id = 4").select("name"), "name", "left_semi").select("id", "name"), "SELECT id, name FROM nodes WHERE name = (SELECT name FROM nodes WHERE id = 4)")
+q("p46_node", lambda c: k.by_id(c.nodes, 3), "SELECT * FROM nodes WHERE id = 3")
+q("p47_volumes", lambda c: k.sorted_table(c.volumes, "name"), "SELECT * FROM volumes")
+q("p48_volume_by_name", lambda c: k.at_key(c.volumes, name="asia"), "SELECT * FROM volumes WHERE name = 'asia'")
+q("p49_volume_by_path", k.volume_by_path, "SELECT path, arg_min(name, id) AS name, min(id) AS id FROM volumes GROUP BY path")
+q("p50_volume", lambda c: k.by_id(c.volumes, 101), "SELECT * FROM volumes WHERE id = 101")
+q("p51_config_drift", k.config_drift, "SELECT * FROM config_drift WHERE id = 1")
+q("p52_query_by_path", lambda c: k.query(c, "en/src0/f5.txt", True).select("id", "volume_id"), "SELECT id, volume_id FROM all_rows WHERE path = 'en/src0/f5.txt'")
+q("p53_origin_filter", lambda c: views.live_rows(c).where(k.origin_matches(True, 2)).select("id"), "SELECT id FROM live_rows WHERE origin_node_id = 2")
+q("p54_digest_from", lambda c: k.by_digest_from(c, "0" * 64, True, None).select("id"), f"SELECT id FROM all_rows WHERE blake3 = '{'0' * 64}' AND origin_node_id IS NULL")
+q("p55_path_query", lambda c: k.by_path_query(c, 1, "en/src0/f5.txt", True, True, None).select("id"), "SELECT id FROM all_rows WHERE volume_id = 1 AND path = 'en/src0/f5.txt' AND origin_node_id IS NULL")
+q("p56_origin_listing", lambda c: k.present_by_origin(c, 3).select("id", "volume_id", "path"), "SELECT id, volume_id, path FROM live_rows WHERE status = 'present' AND origin_node_id = 3")
+q("p57_is_hash", lambda c: c.contents.select("id", p.is_hash(F.col("blake3")).alias("hash")).union(c.nodes.select("id", p.is_hash(F.col("name")))), "SELECT id, regexp_full_match(blake3, '[0-9a-fA-F]{64}') AS hash FROM contents UNION ALL SELECT id, regexp_full_match(name, '[0-9a-fA-F]{64}') FROM nodes")
+q("p58_search_digest", lambda c: k.query(c, "A" * 64).select("id"), f"SELECT id FROM all_rows WHERE blake3 = '{'a' * 64}'")
+q("p59_superseded", lambda c: k.split_by_status(views.all_rows(c))[1].select("id", "path"), "SELECT id, path FROM all_rows WHERE status = 'superseded'")
+q("p60_needs_attention", lambda c: c.runs.where(k.needs_attention()).select("id", "status"), "SELECT id, status FROM runs WHERE status IN ('failed', 'refused', 'aborted', 'partial')")
+_CONFLICTS = f"""(SELECT coalesce(x.run_id, y.run_id) AS run_id, greatest(coalesce(x.raised, 0), coalesce(y.copies, 0)) AS conflicts
+FROM (SELECT raised_run_id AS run_id, count(*) AS raised FROM contested_paths GROUP BY 1) x
+FULL JOIN (SELECT first_seen_run_id AS run_id, count(*) AS copies FROM all_rows WHERE path LIKE '{PREFIX}%' GROUP BY 1) y ON x.run_id = y.run_id)"""
+q("p61_filtered_runs", lambda c: k.filtered_runs(c.runs.withColumn("conflicts", F.lit(0)), True, False, 30).select("id", "status"), "SELECT id, status FROM runs WHERE status IN ('failed', 'refused', 'aborted', 'partial') ORDER BY id DESC LIMIT 30")
+q("p62_interesting", lambda c: c.runs.join(a.conflict_counts(c).withColumnRenamed("run_id", "id"), "id", "left").where(k.interesting()).select("id"),
+  f"SELECT r.id FROM runs r LEFT JOIN {_CONFLICTS} x ON x.run_id = r.id WHERE NOT coalesce(r.status = 'success' AND coalesce(r.changed_count, r.file_count) = 0, false) OR coalesce(x.conflicts, 0) > 0")
+q("p63_candidates", lambda c: k.candidates(c, 1, ["en/src0", "de"], 1600000000000000000 + 20000 * 10**9).select("id", "path", "selector"),
+  "SELECT id, path, CASE WHEN path = 'en/src0' OR starts_with(path, 'en/src0/') THEN 'en/src0' ELSE 'de' END AS selector FROM live_rows WHERE volume_id = 1 AND status = 'present' AND (path IN ('en/src0', 'de') OR starts_with(path, 'en/src0/') OR starts_with(path, 'de/')) AND mtime_ns < 1600020000000000000")
+q("p64_selectors", lambda c: k.matched_selectors(views.live_rows(c), ["fr/src1", "fr", "."]).select("id", "selector"), "SELECT id, CASE WHEN starts_with(path, 'fr/src1/') THEN 'fr/src1' WHEN starts_with(path, 'fr/') THEN 'fr' ELSE '.' END AS selector FROM live_rows")
+q("p66_reserved", lambda c: views.live_rows(c).select("id", p.under_reserved(F.col("path")).alias("offload"), p.reserved_file(F.col("path")).alias("sync"), p.reserved_folder(F.col("path")).alias("folder")),
+  f"SELECT id, starts_with(path, '{PREFIX}history/') AS offload, starts_with(path, '{PREFIX}history/') AS sync, starts_with(path, '{PREFIX}history/') AS folder FROM live_rows")
+q("p69_valid_paths", lambda c: views.live_rows(c).select("id", p.valid_relative(F.col("path")).alias("ok"), p.valid_folder(p.parent(F.col("path"))).alias("folder_ok")),
+  f"SELECT id, NOT starts_with(path, '{PREFIX}history/') AS ok, NOT starts_with(path, '{PREFIX}history/') AS folder_ok FROM live_rows")
+q("p70_valid_origins", lambda c: c.contents.join(c.nodes.select(F.col("id").alias("origin_node_id"), F.col("name")), "origin_node_id", "left").select("id", k.valid_origin(F.col("name"), F.col("origin_run_id"), "nobody").alias("ok")),
+  "SELECT c.id, coalesce((n.name IS NULL AND origin_run_id IS NULL) OR (n.name IS NOT NULL AND origin_run_id > 0 AND regexp_full_match(n.name, '[A-Za-z0-9][A-Za-z0-9_-]*')), false) AS ok FROM contents c LEFT JOIN nodes n ON n.id = c.origin_node_id")
+q("p71_held", lambda c: k.held(views.live_rows(c).where("volume_id = 1").select("path", "size_bytes", "blake3"), c.peer_entries.where("volume_id = 1").select("path", "size_bytes", "blake3")),
+  "SELECT l.path, coalesce(e.size_bytes = l.size_bytes AND e.blake3 = l.blake3, false) AS held FROM live_rows l LEFT JOIN peer_entries e ON e.volume_id = 1 AND e.path = l.path WHERE l.volume_id = 1")
+q("p72_pairs", lambda c: k.pairs(c, destination="dest2"), "SELECT v.name AS volume, s.target FROM sync_to s JOIN volumes v ON v.id = s.volume_id WHERE s.target = 'dest2'")
+q("p73_ordered_targets", k.ordered_targets, "SELECT volume_id, target, min(place) AS place FROM (SELECT volume_id, target, ordinal AS place FROM sync_to UNION ALL SELECT volume_id, target, 1000 + ordinal FROM offload_requires) GROUP BY 1, 2")
+q("p74_accepted", k.accepted_destinations, "SELECT volume_id, target FROM sync_to UNION SELECT volume_id, target FROM offload_requires")
+q("p76_running", lambda c: k.has_running(c, "sync", 1, "dest1"), "SELECT true AS running FROM runs WHERE kind = 'sync' AND volume_id = 1 AND destination = 'dest1' AND status = 'running' LIMIT 1")
+q("p77_latest_sync_id", lambda c: k.latest_sync_id(c, 1, "dest1"), "SELECT coalesce(max(id), 0) AS id FROM (SELECT * FROM runs WHERE volume_id = 1 ORDER BY id DESC LIMIT 20) WHERE kind = 'sync' AND destination = 'dest1'")
+q("p82_volumes_syncing", lambda c: k.volumes_syncing_to(c, "dest1"), "SELECT v.name FROM sync_to s JOIN volumes v ON v.id = s.volume_id WHERE s.target = 'dest1'")
+q("p83_verifiable", k.verifiable, "SELECT name FROM destinations WHERE type <> 'kopia'")
+q("p84_cadences", lambda c: k.verify_cadences(c, 86400 * 10**9), "SELECT name, CAST(coalesce(nullif(verify_every_ns, 0), 86400000000000) AS BIGINT) AS verify_every_ns FROM destinations WHERE type <> 'kopia'")
+q("p85_with_stake", k.with_stake, "SELECT id FROM volumes WHERE id IN (SELECT volume_id FROM sync_to UNION SELECT volume_id FROM offload_requires)")
+q("p86_effective_shallow", lambda c: c.destinations.select("name", k.effective_shallow(F.lit(False), F.col("encrypted")).alias("shallow")), "SELECT name, encrypted AS shallow FROM destinations")
+q("p87_provenance", lambda c: k.prior_provenance(c.contents), "SELECT id, CASE WHEN origin_run_id IS NOT NULL THEN origin_node_id END AS node, CASE WHEN origin_node_id IS NOT NULL THEN origin_run_id END AS run FROM contents")
+q("p89_valid_freshness", lambda c: c.push_freshness.join(c.nodes.select(F.col("id").alias("origin_node_id"), "name"), "origin_node_id").select("volume_id", "destination", "name", k.valid_freshness(F.col("name"), F.col("origin_run_id")).alias("ok")),
+  "SELECT f.volume_id, f.destination, n.name, regexp_full_match(n.name, '[A-Za-z0-9][A-Za-z0-9_-]*') AND f.origin_run_id > 0 AS ok FROM push_freshness f JOIN nodes n ON n.id = f.origin_node_id")
+q("p90_runs_of_kind", lambda c: k.runs_of_kind(c, "audit").select("id"), "SELECT id FROM runs WHERE kind = 'audit'")
+
+# Joins
+
+q("j1_duplicates", lambda c: j.duplicates(c).select("id", "volume", "path", "blake3"), "SELECT r.id, v.name AS volume, r.path, r.blake3 FROM live_rows r JOIN volumes v ON v.id = r.volume_id WHERE r.status = 'present' AND r.content_id IN (SELECT content_id FROM files WHERE status = 'present' GROUP BY 1 HAVING count(*) > 1)")
+q("j2_in_sync", j.in_sync_paths, "SELECT r.destination, f.volume_id, count(*) AS n FROM remote_paths r JOIN files f USING (folder_id, name, content_id) WHERE r.state = 'live' AND f.status = 'present' GROUP BY 1, 2")
+q("j3_repairs", lambda c: j.repairs(c).select("destination", "folder_id", "name", "content_id"), "SELECT DISTINCT r.destination, r.folder_id, r.name, r.content_id FROM remote_paths r JOIN present_rows f USING (folder_id, name, content_id) WHERE r.state = 'lost' AND NOT EXISTS (SELECT 1 FROM remote_paths h WHERE h.destination = r.destination AND h.folder_id = r.folder_id AND h.name = r.name AND h.content_id = r.content_id AND h.state IN ('committing', 'live'))")
+_REMOTE = "(SELECT r.*, f.volume_id, CASE WHEN f.path = '' THEN r.name ELSE concat(f.path, '/', r.name) END AS path, c.size_bytes, c.blake3 FROM remote_paths r JOIN folders f ON f.id = r.folder_id JOIN contents c ON c.id = r.content_id) rp"
+q("j4_stored_paths", lambda c: j.stored_paths(c).select("id", "path", "state", "verified_at_ns", "blake3"), f"SELECT id, path, state, verified_at_ns, blake3 FROM {_REMOTE} WHERE state IN ('live', 'displaced')")
+q("j5_remote_objects", lambda c: j.remote_objects(c).select("content_id", "destination", "blake3", "checksum"), "SELECT o.content_id, o.destination, c.blake3, o.checksum FROM remote_objects o JOIN contents c ON c.id = o.content_id")
+q("j6_remote_packs", lambda c: j.remote_packs(c).select("pack_id", "destination", "pack_key", "size_bytes"), "SELECT r.pack_id, r.destination, p.pack_key, p.size_bytes FROM remote_packs r JOIN packs p ON p.id = r.pack_id")
+q("j7_present_on_destination", j.present_on_destination, "SELECT DISTINCT content_id, destination FROM (SELECT content_id, destination FROM remote_objects UNION ALL SELECT m.content_id, r.destination FROM pack_members m JOIN remote_packs r USING (pack_id)) WHERE content_id IN (SELECT id FROM contents)")
+q("j8_pending", lambda c: j.pending_fingerprints(c, "dest1"), "SELECT volume_id, count(DISTINCT content_id) AS pending FROM present_rows p WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.content_id = p.content_id AND e.destination = 'dest1' AND checksum IS NOT NULL AND verified_at_ns IS NOT NULL) GROUP BY 1")
+q("j9_fingerprinted", j.fingerprinted, "SELECT DISTINCT content_id, destination FROM evidence WHERE checksum IS NOT NULL AND verified_at_ns IS NOT NULL")
+q("j10_recorded", j.recorded_destinations, "SELECT destination FROM remote_objects UNION SELECT destination FROM remote_packs UNION SELECT destination FROM remote_paths")
+q("j11_volumes_with_paths", j.volumes_with_paths, "SELECT DISTINCT r.destination, f.volume_id FROM remote_paths r JOIN folders f ON f.id = r.folder_id")
+for _n, _states in (("j12_live_paths", ("live",)), ("j13_unsettled_paths", ("committing", "displacing")), ("j14_all_paths", ())):
+    q(_n, lambda c, x=_states: j.remote_paths(c, *x).select("id", "volume_id", "path", "size_bytes", "state"), f"SELECT id, volume_id, path, size_bytes, state FROM {_REMOTE}" + (f" WHERE state IN ({', '.join(map(repr, _states))})" if _states else ""))
+q("j15_peer_states", j.peer_states, "SELECT s.*, n.name FROM peer_sync_state s JOIN nodes n ON n.id = s.peer_node_id")
+_MODIFIED = "(SELECT first_seen_run_id AS run_id, count(*) AS modified FROM files f WHERE status = 'present' AND EXISTS (SELECT 1 FROM files o WHERE o.folder_id = f.folder_id AND o.name = f.name AND o.status = 'superseded') GROUP BY 1)"
+q("j16_modified", j.modified_by_run, f"SELECT * FROM {_MODIFIED}")
+q("j17_split_recorded", lambda c: j.split_recorded(c, "dest1").select("content_id", "recorded"), "SELECT DISTINCT content_id, content_id IN (SELECT content_id FROM remote_objects WHERE destination = 'dest1' UNION ALL SELECT m.content_id FROM pack_members m JOIN remote_packs r USING (pack_id) WHERE r.destination = 'dest1') AS recorded FROM present_rows")
+_TRANSLATE = f"(SELECT a.path, a.content_id, a.size_bytes, CASE WHEN l.content_id = a.content_id THEN 'confirm' ELSE 'write' END AS op FROM all_rows a LEFT JOIN {_REMOTE} ON rp.destination = 'dest1' AND rp.volume_id = 1 AND rp.state = 'live' AND rp.path = a.path LEFT JOIN (SELECT 1) z ON 1 = 1 WHERE a.volume_id = 1 AND a.status = 'present' AND lower(a.path) NOT LIKE '{PREFIX}%' AND coalesce(a.status_changed_run_id, a.first_seen_run_id) > 10)".replace("l.content_id", "rp.content_id")
+q("j18_translate", lambda c: j.translate(c, "dest1", 1, 10), f"SELECT * FROM {_TRANSLATE}")
+q("j19_add_repairs", lambda c: j.add_repairs(c, "dest1", 1, 10).select("path", "op"),
+  f"SELECT path, op FROM {_TRANSLATE} UNION ALL SELECT DISTINCT f.path, 'repair' FROM remote_paths r JOIN present_rows f USING (folder_id, name, content_id) WHERE r.destination = 'dest1' AND f.volume_id = 1 AND r.state = 'lost' AND NOT EXISTS (SELECT 1 FROM remote_paths h WHERE h.destination = r.destination AND h.folder_id = r.folder_id AND h.name = r.name AND h.content_id = r.content_id AND h.state IN ('committing', 'live')) AND f.path NOT IN (SELECT path FROM {_TRANSLATE} zz)")
+q("j20_classify_restore", j.classify_restore, "SELECT m.pack_id, count(*) AS n, coalesce(string_agg(c.id::VARCHAR, ',' ORDER BY m.offset_bytes NULLS FIRST, c.id) FILTER (WHERE true), '') AS members FROM contents c LEFT JOIN pack_members m ON m.content_id = c.id GROUP BY 1")
+q("j22_durability_response", j.durability_response, "SELECT v.volume_id, v.destination, n.name AS node, v.origin_run_id, v.verify_method, CAST(coalesce(d.verify_every_ns, 0) AS BIGINT) AS verify_every_ns FROM vectors v JOIN nodes n ON n.id = v.origin_node_id LEFT JOIN destinations d ON d.name = v.destination")
+q("j23_entry_origins", j.entry_origins, "SELECT p.volume_id, p.path, n.name AS origin, o.run FROM present_rows p JOIN origin o USING (volume_id, content_id) LEFT JOIN nodes n ON n.id = o.node")
+q("j24_target_kinds", j.target_kinds, "SELECT name, CASE WHEN name IN (SELECT name FROM nodes) THEN 'node' WHEN name IN (SELECT name FROM destinations) THEN 'destination' ELSE 'relayed' END AS kind FROM (SELECT target AS name FROM sync_to UNION SELECT target FROM offload_requires)")
+_CAN = "CASE WHEN type = 'kopia' THEN true WHEN layout = 'packed' THEN true WHEN type IN ('sftp', 'local') THEN native ELSE type = 's3' END"
+q("j25_target_capability", lambda c: j.target_capability(c, c.vectors.select(F.col("destination").alias("target"), (F.col("source_node_id").isNull()).alias("capable"), F.col("origin_node_id").alias("ordinal"), F.lit("p").alias("peer")).where("target = 'dest3'")),
+  f"SELECT r.volume_id, r.target, coalesce(d.can, (SELECT min(source_node_id IS NULL) FROM vectors WHERE destination = r.target AND destination = 'dest3'), true) AS capable FROM offload_requires r LEFT JOIN (SELECT name, {_CAN} AS can FROM destinations) d ON d.name = r.target")
+q("j27_run_peers", j.run_peers, "SELECT id, name FROM nodes WHERE id IN (SELECT peer_node_id FROM runs)")
+q("j28_orphan_volumes", j.orphan_volumes, "SELECT id, name FROM volumes WHERE id NOT IN (SELECT volume_id FROM sync_to UNION SELECT volume_id FROM offload_requires)")
+q("j29_relayed_targets", j.peer_relayed_targets, "SELECT DISTINCT target FROM offload_requires WHERE target NOT IN (SELECT name FROM destinations) AND target NOT IN (SELECT name FROM nodes)")
+q("j30_fleet_places", j.fleet_places, "SELECT volume_id, destination AS place FROM vectors UNION SELECT s.volume_id, n.name FROM peer_sync_state s JOIN nodes n ON n.id = s.peer_node_id")
+q("j31_self_components", j.self_components, "SELECT * FROM vectors WHERE origin_node_id IN (SELECT id FROM nodes WHERE endpoint IS NULL)")
+q("j32_synced_volumes", j.synced_volumes, "SELECT DISTINCT r.destination, v.name FROM runs r JOIN volumes v ON v.id = r.volume_id WHERE r.kind = 'sync' AND r.status = 'success'")
+q("j33_contested_details", lambda c: j.contested_details(c, c.peer_entries.select("volume_id", "path", "blake3")), "SELECT volume_id, path, e.blake3, c.live_blake3, c.raised_run_id FROM peer_entries e JOIN contested_paths c USING (volume_id, path)")
+q("j35_capabilities", j.destination_capabilities, f"SELECT s.target, d.capable FROM (SELECT DISTINCT target FROM sync_to) s JOIN (SELECT name, {_CAN} AS capable FROM destinations) d ON d.name = s.target")
+_OBJ = lambda c: c.remote_objects.select("destination", F.concat(F.lit("o"), F.col("content_id")).alias("name"))
+q("j36_scan_back", lambda c: j.scan_back(_OBJ(c), c.listing), "SELECT r.destination, concat('o', r.content_id) AS name, CASE WHEN l.name IS NULL THEN 'absent' WHEN l.sha256 IS NULL THEN 'no-checksum' ELSE 'recorded' END AS outcome FROM remote_objects r LEFT JOIN listing l ON l.destination = r.destination AND l.name = concat('o', r.content_id)")
+q("j37_listing_map", lambda c: j.listing_map(c.listing).select("destination", "name", F.col("hashes")["md5"].alias("md5")), "SELECT destination, name, sha256 AS md5 FROM listing")
+q("j38_provenance", lambda c: j.provenance(c, j.entry_origins(c).select("path", "origin", F.col("run").alias("origin_run")), 2, 9), "SELECT p.path, coalesce(n.id, 2) AS node, CASE WHEN n.id IS NULL THEN 9 ELSE o.run END AS run FROM present_rows p JOIN origin o USING (volume_id, content_id) LEFT JOIN nodes n ON n.id = o.node")
