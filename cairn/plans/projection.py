@@ -213,6 +213,8 @@ def duck(sql: str) -> str:
             add_view(x)
         elif x not in DRIVER:
             add(x)
+    if sql.startswith(","):  # the oracle goes on with tables of its own
+        need = need or [add("volumes") or "volumes"]
     parts = [f"{x} AS ({(text[x].replace('{', '').replace('}', '') if x in text else extra[x]).strip()})" for x in need]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + sql
 
