@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cairn.functions import paths as p
 from cairn.functions.shipping import ship
@@ -116,7 +117,7 @@ def _fill(rows: DataFrame, order: str, size: str, group: str | None, name: str,
                 n, total = n + 1, total + x
             yield pd.DataFrame({**{k: pdf[k] for k in columns[:-1]}, name: out}, columns=columns)
 
-    return sorted_.mapInPandas(run, rows.schema.add(name, "long"))
+    return sorted_.mapInPandas(run, StructType([*rows.schema.fields, StructField(name, LongType())]))
 
 
 def planned_uploads(c) -> DataFrame:
