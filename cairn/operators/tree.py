@@ -30,7 +30,7 @@ def with_folder_ids(folders: DataFrame) -> DataFrame:
 
 
 def rollup(c) -> DataFrame:
-    """Present files and bytes at or below each folder, without iteration: every file counts for each ancestor."""
+    """Present files and bytes at or below each folder, without iteration: every file counts for each ancestor."""
     rows = views.live_rows(c).where("status = 'present'").select("volume_id", F.explode(p.closure(p.parent(F.col("path")))).alias("path"), "size_bytes")
     sums = rows.groupBy("volume_id", "path").agg(F.count(F.lit(1)).alias("file_count"), F.sum("size_bytes").alias("cumulative_size"))
     zero = F.lit(0)

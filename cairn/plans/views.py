@@ -19,6 +19,7 @@ def all_rows(c) -> DataFrame:
 
 
 def live_rows(c) -> DataFrame:
+    """Every row that is not superseded."""
     return all_rows(c).where("status <> 'superseded'")
 
 

@@ -150,3 +150,15 @@ def test_entry_without_the_training_subpackage():
 
     code = "import sys; sys.modules['cairn.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not any(x.startswith('op') for x in e.queries()); assert len(e.queries()) > 250"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_hooks_and_lock(tmp_path):
+    from cairn.operators import hooks
+
+    env = hooks.hook_environment("v", "/v", "change", 3, 2)
+    assert hooks.run_hook(["sh", "-c", "test $CAIRN_RUN = 3"], env, 5).status == "success"
+    assert hooks.run_hook(["sh", "-c", "exit 4"], env, 5).exit_code == 4
+    assert hooks.run_hook(["sleep", "5"], env, 0.2).status == "timeout"
+    with hooks.exclusive(str(tmp_path / "lock")), pytest.raises(FileExistsError):
+        with hooks.exclusive(str(tmp_path / "lock")):
+            pass
