@@ -204,3 +204,63 @@ def keep_clean(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents that pass; a rejected key takes all its rows with it."""
     bad = judge(docs, key).where(~F.col("kept")).select(F.col(key).alias("_bad")).distinct()
     return docs.join(settle(bad), docs[key].eqNullSafe(F.col("_bad")), "left_anti")
+
+
+def oracle() -> str:
+    """`judge` over `documents` in DuckDB SQL, without the distance."""
+    d = range(1, 6)
+    pairs = [(i, j) for i in d for j in range(1, i + 1)]
+    text = r"""
+t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce('=' || lang, '-') AS lang, coalesce('=' || source, '-') AS source FROM documents),
+w AS MATERIALIZED (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+win AS (SELECT rid, unnest(range(1, len(ws) - 3)) AS i, ws FROM w),
+same AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i + 4], ' ')) AS n FROM win),
+again AS (SELECT rid, count(DISTINCT i + o) AS n FROM same, range(0, 5) r(o) WHERE n > 1 GROUP BY rid),
+b AS MATERIALIZED (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(a.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN again a ON a.rid = w.rid),
+s AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, floor(100.0 * ln(greatest(n_words, 1)::DOUBLE) + 0.5)::BIGINT AS x1,
+  floor(400.0 * ln((word_chars + 150) / (greatest(n_words, 1)::DOUBLE + 30.0)) + 0.5)::BIGINT AS x2, floor(100.0 * ln(1.0::DOUBLE + 1000.0::DOUBLE * n_symbols / greatest(word_chars, 1)) + 0.5)::BIGINT AS x3,
+  floor(100.0 * ln(1.0::DOUBLE + 100.0::DOUBLE * n_dup_lines / greatest(n_words, 1)::DOUBLE) + 0.5)::BIGINT AS x4, floor(100.0 * ln(1.0::DOUBLE + 100.0::DOUBLE * n_repeat_words / greatest(n_words, 1)::DOUBLE) + 0.5)::BIGINT AS x5 FROM b),
+f AS MATERIALIZED (SELECT * FROM s WHERE NOT base_failed),
+z AS (SELECT lang, source, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS nl, sum(count(*)) OVER () AS na FROM f GROUP BY lang, source),
+g AS MATERIALIZED (SELECT lang, source, CASE WHEN n >= MIN THEN lang || '/' || source WHEN nl >= MIN THEN lang WHEN na >= MIN THEN '*' END AS grp FROM z),
+r AS MATERIALIZED (SELECT f.*, g.grp FROM f JOIN g ON g.lang = f.lang AND g.source = f.source),
+u AS MATERIALIZED (SELECT grp, x1, x2, x3, x4, x5 FROM r WHERE contains(grp, '/') UNION ALL SELECT lang, x1, x2, x3, x4, x5 FROM f WHERE lang IN (SELECT grp FROM g) UNION ALL SELECT '*', x1, x2, x3, x4, x5 FROM f WHERE '*' IN (SELECT grp FROM g)),
+""".replace("MIN", str(MIN_GROUP))
+    mids = ", ".join(f"quantile_cont(x{i}, 0.5) AS m{i}" for i in d)
+    offs = ", ".join(f"quantile_cont(abs(x{i} - m{i}), 0.5) AS a{i}" for i in d)
+    first = ", ".join(f"sqrt(2.198::DOUBLE * a{i} * a{i} + {FLOOR[i - 1]}::DOUBLE) AS l{i}{j}" if i == j else f"0.0::DOUBLE AS l{i}{j}" for i, j in pairs)
+    ms = ", ".join(f"m{i}" for i in d)
+    text += f"mid AS MATERIALIZED (SELECT grp, {mids} FROM u GROUP BY grp),\nmad AS MATERIALIZED (SELECT u.grp, {offs} FROM u JOIN mid ON mid.grp = u.grp GROUP BY u.grp),\n"
+    text += f"e0 AS MATERIALIZED (SELECT mid.grp, {ms}, {first} FROM mid JOIN mad ON mad.grp = mid.grp),\n"
+
+    def distance(rows: str, model: str, keep: str, kind: str = "JOIN") -> str:
+        """A SELECT of `keep` and the squared distance d, one nested SELECT for each coordinate."""
+        inner = f"SELECT {keep}, {', '.join(f'k.x{i}' for i in d)}, {', '.join(f'e.m{i}' for i in d)}, {', '.join(f'e.l{i}{j}' for i, j in pairs)} FROM {rows} k {kind} {model} e ON e.grp = k.grp"
+        for i in d:
+            rest = f"(x{i} - m{i})"
+            for j in range(1, i):
+                rest = f"({rest} - l{i}{j} * z{j})"
+            inner = f"SELECT *, {rest} / l{i}{i} AS z{i} FROM ({inner})"
+        total = "z1 * z1"
+        for i in range(2, 6):
+            total = f"({total} + z{i} * z{i})"
+        return f"SELECT *, {total} AS d FROM ({inner})"
+
+    for step in range(STEPS):
+        text += f"n{step} AS MATERIALIZED (SELECT grp, x1, x2, x3, x4, x5, floor(100.0::DOUBLE * ln(1.0::DOUBLE + d))::BIGINT AS q FROM ({distance('u', f'e{step}', 'k.grp')})),\n"
+        sums = ", ".join([f"sum(x{i}) AS s{i}" for i in d] + [f"sum(x{i} * x{j}) AS s{i}{j}" for i, j in pairs])
+        text += f"c{step} AS MATERIALIZED (SELECT n.grp, count(*) AS n, {sums} FROM n{step} n JOIN (SELECT grp, quantile_cont(q, {H}) AS cut FROM n{step} GROUP BY grp) h ON h.grp = n.grp WHERE n.q <= h.cut GROUP BY n.grp),\n"
+        floor = lambda i, j: f"{FLOOR[i - 1] if i == j else 0.0}::DOUBLE"
+        inner = f"SELECT grp, {', '.join(f's{i} / n AS m{i}' for i in d)}, {', '.join(f'(s{i}{j} / n - (s{i} / n) * (s{j} / n)) + {floor(i, j)} AS c{i}{j}' for i, j in pairs)} FROM c{step}"
+        for i, j in pairs:
+            rest = f"c{i}{j}"
+            for k in range(1, j):
+                rest = f"({rest} - l{i}{k} * l{j}{k})"
+            value = f"sqrt(greatest({rest}, 1.0::DOUBLE))" if i == j else f"{rest} / l{j}{j}"
+            inner = f"SELECT *, {value} AS l{i}{j} FROM ({inner})"
+        text += f"e{step + 1} AS MATERIALIZED ({inner}),\n"
+    out = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
+    keep = ", ".join(f"k.{x}" for x in out.split(", "))
+    text += f"o AS ({distance('r', f'e{STEPS}', keep, 'LEFT JOIN')})\n"
+    return "WITH " + text.strip() + f"\nSELECT {out}, coalesce(d <= {CUT}, true) AS kept FROM o UNION ALL SELECT {out}, false FROM s WHERE base_failed"

@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_brown_lm": op10_brown_lm,
 }
 
-ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.oracle(), "op9_line_dedup": line_dedup.ORACLE}

@@ -286,13 +286,15 @@ def test_exchange_finds_the_classes():
     assert len(set(got[0::2])) == 1 and len(set(got[1::2])) == 1 and got[0] != got[1]
 
 
-def test_classifier(spark, sf, docs, odd, none):
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
+def test_classifier(spark, odd, none):
+    # The smallest tables have 19 held-out labels, too few to measure by; the next size has 79.
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     machine = factorisation.train(docs, labels)
     got = {r["doc_id"]: r for r in factorisation.classify(docs, machine).collect()}
     said = {r["doc_id"]: r["quality"] for r in labels.collect()}
     right = [(r["score"] >= 0.5) == said[k] for k, r in got.items() if r["held_out"] and k in said]
-    assert sum(right) >= 0.85 * len(right)
+    assert len(right) >= 50 and sum(right) >= 0.9 * len(right)
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3) for k, r in got.items())
     assert factorisation.classify(odd, machine).where("score between 0 and 1").count() == odd.count() and factorisation.classify(none, machine).count() == 0
     assert factorisation.train(docs, labels.limit(0)).score(*factorisation.features("a")) == 0.5
@@ -329,3 +331,11 @@ def test_nn_descent_empty(spark):
 def test_queries_return_every_row(spark, sf, docs):
     for name in ("op1_secret_scan", "op2_sentencepiece", "op8_sharding"):
         assert QUERIES[name](spark, sf).count() == docs.count()
+
+
+def test_quality_rules_oracle(spark, sf, docs):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    cur = con.execute(quality_rules.oracle())
+    names = [x[0] for x in cur.description]
+    assert sorted(map(tuple, QUERIES["op4_quality_rules"](spark, sf).select(*names).collect())) == sorted(cur.fetchall())
