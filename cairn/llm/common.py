@@ -52,6 +52,20 @@ def release(*frames: DataFrame) -> None:
             _scratch[:] = [x for x in _scratch if x[1] != path]
 
 
+def free_shuffles() -> None:
+    """Have Spark drop the shuffle files of finished phases, whose results are settled.
+
+    It does so when the driver's collector finds their plans unused; in a job of many
+    phases on a driver with memory to spare that may be long after.
+    """
+    import gc
+
+    from pyspark import SparkContext
+
+    gc.collect()
+    SparkContext._active_spark_context._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

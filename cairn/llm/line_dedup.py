@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join (DataFrame functions only).
 
-A line's tokens are its distinct five-word shingles, lower-cased; lines of fewer words
-carry no tokens and are left alone. A line is removed if an earlier line, by
+A line's tokens are its distinct five-word shingles; lines of fewer words carry no
+tokens and are left alone. A line is removed if an earlier line, by
 (document, line number), has a Jaccard similarity of at least 0.8 with it.
 
 1. Rarity: all tokens of the corpus are counted in `BUCKETS` hash buckets, a table of
@@ -11,9 +11,9 @@ carry no tokens and are left alone. A line is removed if an earlier line, by
 2. Prefix filter: two lines at similarity t share one of their n - ceil(t n) + 1 first
    tokens. Lines with equal token sets are one class; a prefix token matters only
    if two classes hold it, which one map-side-combined group-by decides.
-3. Candidates in a token's group are tried from the earliest on, in ranks 1, 2-8, 9-64
-   and so on, after the length and positional filters, and only for lines that
-   no earlier rank has matched. So a family of thousands of near copies costs one
+3. A line is first held against the earliest line it shares a prefix token with. Only
+   lines that this does not match go on: candidates in their tokens' groups are tried
+   in ranks 1, 2-8, 9-64 and so on, after the length and positional filters. So a family of thousands of near copies costs one
    pair a line, not all pairs, and yet no pair is given up.
 4. Verification: exact Jaccard over the whole token sets.
 
@@ -33,13 +33,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import release, settle, text_of
+from cairn.llm.common import free_shuffles, release, settle, text_of
 
-SPACE = r"[\x20\x09-\x0D]+"
 WIDTH = 5
 SIMILAR = 0.8
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 PLACE = ["k", "h", "line"]
+#: Tables up to these counted rows (8 to 500 bytes each) are broadcast; larger ones are shuffled.
+FEW_TOKENS, FEW_PAIRS, FEW_SETS = 1_000_000, 200_000, 20_000
 
 
 def _let(value, use):
@@ -48,7 +49,7 @@ def _let(value, use):
 
 def _tokens(line):
     """Distinct 58-bit shingle hashes of a line; none for fewer than five words."""
-    words = F.filter(F.split(F.lower(line), SPACE), lambda x: x != "")
+    words = F.filter(F.split(line, " "), lambda x: x != "")
     none = F.array().cast("array<bigint>")
 
     def shingles(h):
@@ -58,18 +59,23 @@ def _tokens(line):
     return _let(F.transform(words, lambda w: F.xxhash64(w)), shingles)
 
 
+def _plain(text):
+    """`text` with every other word separator but newlines as a space: a literal split is much the faster one."""
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+
+
 def _lines(docs: DataFrame, key: str) -> DataFrame:
-    """(k, h, line, tokens) of every line that has tokens."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text_of()).alias("h"), F.posexplode(F.split(text_of(), "\n")).alias("line", "_text"))
-    return rows.select(*PLACE, _tokens(F.col("_text")).alias("tokens")).where(F.size("tokens") > 0)
+    """(k, h, line, tokens) of every line; no filter here, which the optimiser would compute the tokens twice for."""
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text_of()).alias("h"), F.posexplode(F.split(_plain(text_of()), "\n")).alias("line", "_text"))
+    return rows.select(*PLACE, _tokens(F.col("_text")).alias("tokens"))
 
 
 def _levels(lines: DataFrame) -> str:
-    """The rarity level of every bucket as a JSON list: doublings over eight times the mean, at most 31."""
+    """The rarity level of every bucket as a JSON list: doublings over twice the mean, at most 31."""
     single = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     counts = {r[0]: r[1] for r in single.collect()}  # at most BUCKETS rows
     mean = sum(counts.values()) / BUCKETS if counts else 1.0
-    return json.dumps([max(0, min(31, int(math.log2(max(1.0, counts.get(b, 0) / (8 * mean)))))) for b in range(BUCKETS)])
+    return json.dumps([max(0, min(31, int(math.log2(max(1.0, counts.get(b, 0) / (2 * mean)))))) for b in range(BUCKETS)])
 
 
 def _ordered(tokens, levels: str):
@@ -86,12 +92,32 @@ def _needed(n):
     return F.ceil(F.lit(SIMILAR) * n - F.lit(1e-9))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(a, b) pairs that their prefixes do not rule out.
+
+    A token of one prefix that sorts before the end of the other prefix and is not in it
+    is in no part of the other set, so it is missing for certain.
+    """
+    one = lambda x: prefixes.select(F.col("c").alias(x), F.col("n").alias("n" + x), F.col("prefix").alias("p" + x))
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    shared = F.size(F.array_intersect("pa", "pb"))
+    inside = lambda x, y: F.size(F.filter(x, lambda t: t <= F.element_at(y, -1)))
+    most = F.least(F.col("na") - inside(F.col("pa"), F.col("pb")) + shared, F.col("nb") - inside(F.col("pb"), F.col("pa")) + shared)
+    need = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("na") + F.col("nb")) - 1e-9)
+    return settle(both.where((most >= need) & (F.col("na") >= _needed(F.col("nb"))) & (F.col("nb") >= _needed(F.col("na")))).select("a", "b"))
+
+
+def _verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame) -> DataFrame:
     """Of (a, b), the b whose similarity with a is enough."""
+    pairs = _possible(pairs, prefixes)
+    n = pairs.count()
     left, right = sets.select(F.col("c").alias("a"), F.col("tokens").alias("_s")), sets.select(F.col("c").alias("b"), F.col("tokens").alias("_t"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = left.join(F.broadcast(pairs) if n <= FEW_PAIRS else pairs, "a")
+    both = right.join(F.broadcast(both) if n <= FEW_SETS else both, "b")
     shared = F.size(F.array_intersect("_s", "_t"))
-    return both.where(shared >= F.lit(SIMILAR) * (F.size("_s") + F.size("_t") - shared) - 1e-9).select(F.col("b").alias("c")).distinct()
+    out = settle(both.where(shared >= F.lit(SIMILAR) * (F.size("_s") + F.size("_t") - shared) - 1e-9).select(F.col("b").alias("c")).distinct())
+    free_shuffles()
+    return out
 
 
 def repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -100,12 +126,15 @@ def repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     coded = _lines(docs, key).select(*PLACE, _ordered(F.col("tokens"), levels).alias("s"))
     lines = settle(coded.select(
         *PLACE, F.xxhash64("s").alias("c"), F.xxhash64(F.lit(1), F.col("s")).alias("c2"), F.size("s").alias("n"),
-        F.slice("s", F.lit(1), (F.size("s") - _needed(F.size("s")) + 1).cast("int")).alias("prefix"),
-    ))
+        F.slice("s", F.lit(1), F.when(F.size("s") == 0, 0).otherwise(F.size("s") - _needed(F.size("s")) + 1).cast("int")).alias("prefix"),
+    )).where("n > 0")
     # Prefix tokens that two classes hold.
     single = lines.select("c", "n", F.posexplode("prefix").alias("i", "t"))
     common = single.groupBy("t").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("t")
-    cand = settle(single.join(settle(common), "t").select("t", "c", "n", "i").distinct())
+    common = settle(common)
+    few = common.count() <= FEW_TOKENS
+    cand = settle(single.join(F.broadcast(common) if few else common, "t").select("t", "c", "n", "i").distinct())
+    free_shuffles()
     matched = _matched(docs, key, lines, cand, levels)
 
     place = F.struct(*PLACE)
@@ -125,30 +154,31 @@ def _matched(docs: DataFrame, key: str, lines: DataFrame, cand: DataFrame, level
     wanted = first.select("c", "p.*").groupBy("k", "h").agg(F.collect_list(F.struct("line", "c")).alias("want"))
     id_, h = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text_of())
     texts = docs.select(id_.alias("k"), h.alias("h"), text_of().alias("text")).join(wanted, ["k", "h"])
-    texts = texts.select(F.split("text", "\n").alias("_l"), F.explode("want").alias("w")).select(F.col("w.c").alias("c"), F.element_at("_l", F.col("w.line") + 1).alias("_t"))
-    sets = settle(texts.select("c", _ordered(_tokens(F.col("_t")), levels).alias("tokens")).dropDuplicates(["c"]))
+    chosen = _let(F.split(_plain(F.col("text")), "\n"), lambda x: F.transform("want", lambda w: F.struct(w["c"].alias("c"), F.get(x, w["line"]).alias("t"))))
+    sets = settle(texts.select(F.explode(chosen).alias("w")).select("w.c", _ordered(_tokens(F.col("w.t")), levels).alias("tokens")))
+    prefixes = settle(lines.select("c", "n", "prefix").join(classes, "c", "left_semi").dropDuplicates(["c"]))
 
     ranked = cand.join(first, "c").select("t", "c", "n", "i", "p", F.row_number().over(Window.partitionBy("t").orderBy("p", "c")).alias("r"))
     ranked = settle(ranked)
     last = ranked.agg(F.coalesce(F.max("r"), F.lit(0))).first()[0]
-    left, found = ranked, None
+    free_shuffles()
+    # Most lines match the earliest line that they share a token with: one pair a line.
+    starts = ranked.where("r = 1").select("t", F.struct("p", "c").alias("_a"))
+    pairs = ranked.where("r > 1").join(starts, "t").groupBy("c").agg(F.min("_a").alias("_a")).select(F.col("_a.c").alias("a"), F.col("c").alias("b"))
+    found = _verified(pairs, prefixes, sets)
+    left = settle(ranked.join(found, "c", "left_anti"))
     low, high = 1, 1
-    while low < last:
+    while low < last and left.limit(1).count():
         a = ranked.where(F.col("r").between(low, high)).select("t", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("r").alias("ra"))
         b = left.select("t", F.col("c").alias("b"), "n", "i", "r").where(F.col("r") > low)
         met = b.join(a, "t").where((F.col("ra") < F.col("r")) & (F.col("na") >= _needed(F.col("n"))) & (F.col("n") >= _needed(F.col("na"))))
         # What can be shared before, at and behind the common token.
         most = F.least("ia", "i") + 1 + F.least(F.col("na") - F.col("ia"), F.col("n") - F.col("i")) - 1
         need = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("na") + F.col("n")) - 1e-9)
-        hits = settle(_verified(met.where(most >= need).select("a", "b").distinct(), sets))
-        found = hits if found is None else found.unionByName(hits)
+        hits = _verified(met.where(most >= need).select("a", "b").distinct(), prefixes, sets)
+        found = found.unionByName(hits)
         low, high = high + 1, 8 * high
-        if low < last:
-            left = settle(left.join(hits, "c", "left_anti").where(F.col("r") > low))
-            if not left.limit(1).count():
-                break
-    if found is None:
-        return classes.limit(0)
+        left = settle(left.join(hits, "c", "left_anti").where(F.col("r") > low))
     return settle(found.distinct())
 
 
@@ -179,7 +209,7 @@ WITH l AS (
   SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
 ), w AS (
-  SELECT doc_id, line_no, list_filter(string_split_regex(lower(line), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM l
+  SELECT doc_id, line_no, list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM l
 ), s AS (
   SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS ts
   FROM w WHERE len(ws) >= 5
