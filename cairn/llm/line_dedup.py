@@ -28,8 +28,8 @@ extra columns are kept by `without_repeats` and ignored otherwise.
 from __future__ import annotations
 
 import json
-import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,14 +73,17 @@ def _lines(docs: DataFrame, key: str) -> DataFrame:
 def _levels(lines: DataFrame) -> str:
     """The rarity level of every bucket as a JSON list: doublings over twice the mean, at most 31."""
     single = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    counts = {r[0]: r[1] for r in single.collect()}  # at most BUCKETS rows
-    mean = sum(counts.values()) / BUCKETS if counts else 1.0
-    return json.dumps([max(0, min(31, int(math.log2(max(1.0, counts.get(b, 0) / (2 * mean)))))) for b in range(BUCKETS)])
+    got = single.toArrow()  # at most BUCKETS rows
+    counts = np.zeros(BUCKETS)
+    counts[got["b"].to_numpy()] = got["n"].to_numpy()
+    mean = max(counts.sum() / BUCKETS, 1e-9)
+    levels = np.clip(np.log2(np.maximum(1.0, counts / (2 * mean))), 0, 31).astype(int)
+    return json.dumps(levels.tolist(), separators=(",", ":")) if levels.any() else "[]"
 
 
 def _ordered(tokens, levels: str):
     """Tokens from the rarest level on, as longs that sort that way."""
-    if json.loads(levels).count(0) == BUCKETS:
+    if levels == "[]":
         return F.sort_array(tokens)
     table = F.from_json(F.lit(levels), "array<tinyint>")  # folded to one literal
     level = lambda t: F.coalesce(F.get(table, t.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long")
