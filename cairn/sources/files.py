@@ -14,8 +14,8 @@ PLACEMENT = "blake3 string, pack string, offset long, length long"
 def tree(spark: SparkSession, root: str, with_digest: bool = True, marker: str = ".cairn-volume") -> DataFrame:
     """The regular files below a root: path, size, time and digest; without digests no content is read.
 
-    Spark's file listing leaves out names that begin with a dot or an underscore; companions
-    and hidden files need a listing from elsewhere (`listing`).
+    Spark's file scan leaves out empty files and names that begin with a dot or an
+    underscore; these need a listing from elsewhere (`listing`).
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:") + "/")

@@ -127,9 +127,9 @@ def test_tree_source_and_catalog(spark, tmp_path):
     """S1, K1, S12, S13, K6, S20."""
     (tmp_path / "v/x").mkdir(parents=True)
     (tmp_path / "v/a.txt").write_text("hello")
-    (tmp_path / "v/x/b").write_text("")
+    (tmp_path / "v/x/b").write_text("1")
     got = {r["path"]: (r["size_bytes"], r["companion"]) for r in files.tree(spark, str(tmp_path / "v")).collect()}
-    assert got == {"a.txt": (5, False), "x/b": (0, False)}
+    assert got == {"a.txt": (5, False), "x/b": (1, False)}
     lines = spark.createDataFrame([("a", "0" * 64, "present", 1, 2), ("b", "1" * 64, "missing", 1, 2)], files.MANIFEST)
     sinks.write_manifest(lines, str(tmp_path / "run-3"))
     back = files.replay(files.manifests(spark, str(tmp_path / "run-3")))
