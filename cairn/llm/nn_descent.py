@@ -9,8 +9,12 @@ saturated; they double, and descend again.
 The threshold edges of the graph give connected components, and inside each component all
 pairs are compared in blocks, so link counts are whole even where a group of
 copies is larger than any list; only sizes of links are summed, no pairs are written.
-An audit holds a bounded, stated query set against all nodes; while it finds too
-few links, further leaves and rounds are added.
+Leaf tables grow with the number of nodes, so that a pair at the threshold meets in one of
+them with probability `RECALL`. An audit holds a bounded, stated query set against all
+nodes and averages over the queries that have links, so one group's links outweigh no
+other's. It grows until enough queries have links; without them it is undecided and a second
+attempt is made in any case. While it finds too few links, further leaves and
+rounds are added; if that does not help, the query fails.
 
 Defined cases: vectors that are null, of length zero, all zeros, or hold a null or
 non-finite component link with nothing; a shorter vector counts as padded with zeros;
@@ -37,8 +41,10 @@ LEAVES = 4
 ROUNDS = 3
 WIDEN = 2
 THRESHOLD = 0.9
-#: The audit's query set, chosen by the hash of the ids, and the recall it must reach.
-AUDIT, RECALL = 512, 0.97
+#: Leaf tables dealt at once, and attempts after which too low a recall is an error.
+PASS, ATTEMPTS = 8, 5
+#: The audit's query sets, chosen by the hash of the ids; queries with links that decide; the mean share of their links to be found.
+AUDITS, LINKED, RECALL = (512, 4096, 32768), 64, 0.97
 BLOCK = 512
 EDGES = "a long, b long, sim double"
 
@@ -64,13 +70,14 @@ def _pad(width: int):
 
 
 def _leaf(planes: np.ndarray):
-    bits = 1 << np.arange(planes.shape[1], dtype=np.int64)
+    """The codes of each vector in every table; planes: tables x width x bits."""
+    bits = 1 << np.arange(planes.shape[2], dtype=np.int64)
 
     def run(batches):
         for batch in batches:
-            x = _unit([v.as_py() for v in batch.column("vec")]) if batch.num_rows else np.zeros((0, len(planes)))
-            code = ((x @ planes) > 0) @ bits
-            yield pa.record_batch([batch.column("id"), batch.column("vec"), pa.array(code.astype(np.int64))], names=["id", "vec", "leaf"])
+            x = _unit([v.as_py() for v in batch.column("vec")]) if batch.num_rows else np.zeros((0, planes.shape[1]))
+            codes = np.stack([((x @ p) > 0) @ bits for p in planes], axis=1)
+            yield pa.record_batch([batch.column("id"), batch.column("vec"), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["id", "vec", "codes"])
 
     return run
 
@@ -93,14 +100,24 @@ def _best_in_block(k: int):
     return run
 
 
-def _leaves(nodes: DataFrame, n: int, width: int, round_: int, k: int) -> DataFrame:
-    bits = max(1, min(40, math.ceil(math.log2(max(2, n / LEAF)))))
-    planes = np.random.default_rng(1000 + round_).normal(size=(width, bits))
-    coded = nodes.select("id", "vec").mapInArrow(_leaf(planes), "id long, vec binary, leaf long")
-    coded = settle(coded)
-    sizes = coded.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"))
-    salted = coded.join(sizes, "leaf").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(round_)), F.ceil(F.col("_n") / (2 * LEAF))))
-    return salted.select("id", "vec", "leaf", "salt").groupBy("leaf", "salt").applyInPandas(_best_in_block(k), EDGES)
+def _bits(n: int) -> int:
+    return max(1, min(40, math.ceil(math.log2(max(2, n / LEAF)))))
+
+
+def _tables(n: int) -> int:
+    """Leaf tables in which a pair at the threshold shares a leaf at least once with probability `RECALL`."""
+    together = (1 - math.acos(THRESHOLD) / math.pi) ** _bits(n)
+    return max(LEAVES, math.ceil(math.log(1 - RECALL) / math.log1p(-together)))
+
+
+def _leaves(nodes: DataFrame, n: int, width: int, first: int, tables: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The best `k` of each node in its leaves of tables first..first + tables, and the settled codes they read."""
+    planes = np.stack([np.random.default_rng(1000 + first + i).normal(size=(width, _bits(n))) for i in range(tables)])
+    coded = settle(nodes.select("id", "vec").mapInArrow(_leaf(planes), "id long, vec binary, codes array<long>"))
+    sizes = coded.select(F.posexplode("codes").alias("table", "leaf")).groupBy("table", "leaf").agg(F.count(F.lit(1)).alias("_n"))
+    each = coded.select("id", "vec", F.posexplode("codes").alias("table", "leaf")).join(sizes, ["table", "leaf"])
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("id", F.col("table") + first), F.ceil(F.col("_n") / (2 * LEAF))))
+    return salted.select("id", "vec", "table", "leaf", "salt").groupBy("table", "leaf", "salt").applyInPandas(_best_in_block(k), EDGES), coded
 
 
 def _trim(edges: DataFrame, limits: DataFrame) -> DataFrame:
@@ -224,26 +241,43 @@ def _audit(queries: list[tuple[int, int, bytes]]):
     x = _unit([q[2] for q in queries])
 
     def run(batches):
-        all_, found = 0, 0
+        all_, found = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                y = _unit([v.as_py() for v in batch.column("vec")])
-                hit = (x @ y.T >= THRESHOLD) & (ids[:, None] != batch.column("id").to_numpy()[None, :])
-                all_ += int(hit.sum())
-                found += int((hit & (comp[:, None] == batch.column("component").to_numpy()[None, :])).sum())
-        yield pa.record_batch([pa.array([all_], pa.int64()), pa.array([found], pa.int64())], names=["n", "found"])
+                y = _unit([v.as_py() for v in batch.column("vec")]).T
+                id_, component = batch.column("id").to_numpy(), batch.column("component").to_numpy()
+                for lo in range(0, len(ids), BLOCK):
+                    at = slice(lo, lo + BLOCK)
+                    q, r = np.nonzero(x[at] @ y >= THRESHOLD)
+                    q, r = q[ids[at][q] != id_[r]], r[ids[at][q] != id_[r]]
+                    size = len(ids[at])
+                    all_[at] += np.bincount(q, minlength=size)
+                    found[at] += np.bincount(q[comp[at][q] == component[r]], minlength=size)
+        some = np.flatnonzero(all_)
+        yield pa.record_batch([pa.array(ids[some]), pa.array(all_[some]), pa.array(found[some])], names=["q", "n", "found"])
 
     return run
 
 
-def recall(nodes: DataFrame, member: DataFrame, audit: int = AUDIT) -> tuple[int, int]:
-    """Links of the query set among all nodes, and how many of them lie inside a component."""
+def recall(nodes: DataFrame, member: DataFrame, n: int, audit: int) -> tuple[int, int, int, float]:
+    """Of about `audit` of `n` nodes held against all: links, links inside a component, queries with links, their mean share of links found."""
     named = nodes.join(member.withColumnRenamed("node", "id"), "id", "left").select("id", "vec", F.coalesce("component", "id").alias("component"))
-    chosen = named.orderBy(F.xxhash64("id"), "id").limit(audit).select("id", "component", "vec").collect()
+    mine = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40)) < F.lit(math.ceil((1 << 40) * min(1.0, audit / max(1, n))))
+    chosen = named.where(mine).select("id", "component", "vec").collect()  # about `audit` rows
     if not chosen:
-        return 0, 0
-    r = named.mapInArrow(_audit([(a, b, bytes(c)) for a, b, c in chosen]), "n long, found long").agg(F.sum("n"), F.sum("found")).first()
-    return int(r[0] or 0), int(r[1] or 0)
+        return 0, 0, 0, 1.0
+    each = named.mapInArrow(_audit([(a, b, bytes(c)) for a, b, c in chosen]), "q long, n long, found long").groupBy("q").agg(F.sum("n").alias("n"), F.sum("found").alias("found"))
+    r = each.agg(F.sum("n"), F.sum("found"), F.count(F.lit(1)), F.avg(F.col("found") / F.col("n"))).first()
+    return int(r[0] or 0), int(r[1] or 0), int(r[2]), 1.0 if r[3] is None else float(r[3])
+
+
+def audited(nodes: DataFrame, member: DataFrame, n: int) -> tuple[tuple[int, int, int, float], bool]:
+    """The recall of the first query set with enough linked queries, and whether there was one."""
+    for audit in AUDITS:
+        got = recall(nodes, member, n, audit)
+        if got[2] >= LINKED or audit >= n:
+            return got, True
+    return got, False
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -260,12 +294,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     n = nodes.count()
     graph = None
     limits = settle(nodes.sparkSession.createDataFrame([], "a long, k int"))
-    audit = (0, 0)
-    for attempt in range(3):
-        for i in range(LEAVES):
-            more = _leaves(nodes, n, width, attempt * LEAVES + i, K)
-            graph = more if graph is None else graph.union(more)
-        graph = settle(_trim(graph, limits))
+    tables = _tables(n)
+    for attempt in range(ATTEMPTS):
+        for at in range(0, tables, PASS):
+            more, coded = _leaves(nodes, n, width, attempt * tables + at, min(PASS, tables - at), K)
+            before, graph = graph, settle(_trim(more if graph is None else graph.union(more), limits))
+            release(coded, *([] if before is None else [before]))
         for _ in range(ROUNDS):
             before = graph
             graph = _descend(before, nodes, limits)
@@ -280,9 +314,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             limits = _widen(limits, more)
             graph = _descend(graph, nodes, limits, more.select(F.col("a").alias("u")))
         member = components(graph.where(F.col("sim") >= THRESHOLD))
-        audit = recall(nodes, member)
-        if audit[1] >= RECALL * audit[0]:
+        audit, decided = audited(nodes, member, n)
+        if audit[3] >= RECALL and (decided or attempt):
             break
+    else:
+        raise RuntimeError(f"op3: {audit[2]} linked queries of the audit find {audit[3]:.4f} of their links after {ATTEMPTS} attempts, less than {RECALL}")
     counted = _links(nodes, member)
     classes = distinct.select("v", "id", "least", "size").join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))

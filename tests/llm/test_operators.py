@@ -324,6 +324,25 @@ def test_nn_descent(spark):
     assert got == want
 
 
+def test_audit_counts_queries_not_links(spark):
+    """A large group that is whole does not outweigh pairs that are missed, and few links decide nothing."""
+    rnd = np.random.default_rng(10)
+    x = rnd.normal(size=(1000, 32))
+    x[:300] = x[0] + rnd.normal(size=(300, 32)) * 0.02
+    x[300:340] = x[400:440] + rnd.normal(size=(40, 32)) * 0.02
+    nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, vec binary")
+    member = spark.createDataFrame([(i, 0) for i in range(300)], "node long, component long")
+    (links, found, queries, share), decided = nn_descent.audited(nodes, member, 1000)
+    assert found >= 0.97 * links and decided and share < 0.97
+    assert nn_descent.audited(nodes.where("id >= 440"), member, 10**9)[1] is False
+
+
+@pytest.mark.parametrize("n", [10, 20_000, 120_000, 10**8])
+def test_leaf_tables_grow_with_the_nodes(n):
+    together = (1 - math.acos(nn_descent.THRESHOLD) / math.pi) ** nn_descent._bits(n)
+    assert 1 - (1 - together) ** nn_descent._tables(n) >= nn_descent.RECALL
+
+
 def test_nn_descent_empty(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, fp long")).count() == 0
 
