@@ -6,7 +6,9 @@ neighbours, forward and backward, meet with their vectors and every pair of them
 that would improve a list is kept. Lists whose every entry passes the threshold are
 saturated; they double, and descend again.
 
-The threshold edges of the graph give connected components, and inside each component all
+The threshold edges of the graph give connected components. Those with lists that are still
+saturated are held against each other exactly, pruned by centres and radii,
+and joined where any pair links. Inside each component all
 pairs are compared in blocks, so link counts are whole even where a group of
 copies is larger than any list; only sizes of links are summed, no pairs are written.
 Leaf tables grow with the number of nodes, so that a pair at the threshold meets in one of
@@ -235,6 +237,69 @@ def _links(nodes: DataFrame, member: DataFrame) -> DataFrame:
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The centre of a cell and the largest angle of a member to it."""
+    x = _unit(pdf["vec"].tolist())
+    centre = x.sum(0)
+    if np.linalg.norm(centre) < 1e-6:
+        centre = x[0]
+    centre = centre / np.linalg.norm(centre)
+    radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
+    return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "component": [pdf["component"].iloc[0]], "centre": [centre.tobytes()], "radius": [radius]})
+
+
+def _close(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of cells of two components whose balls leave room for a link."""
+    side = pdf["side"].to_numpy()
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    if not len(left):
+        return pd.DataFrame({"p": [], "q": []}).astype(str)
+    cell, comp, radius, c = pdf["cell"].to_numpy(), pdf["component"].to_numpy(), pdf["radius"].to_numpy(), _unit(pdf["centre"].tolist())
+    near = np.arccos(np.clip(c[left] @ c[right].T, -1, 1)) <= radius[left][:, None] + radius[right][None, :] + (math.acos(THRESHOLD) + 1e-6)
+    near &= comp[left][:, None] != comp[right][None, :]
+    if right is left:
+        near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    return pd.DataFrame({"p": cell[left[i]], "q": cell[right[j]]})
+
+
+def _touch(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One link between two cells, if there is any."""
+    side, ids, x = pdf["side"].to_numpy(), pdf["id"].to_numpy(), _unit(pdf["vec"].tolist())
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for lo in range(0, len(left), BLOCK):
+        rows = left[lo : lo + BLOCK]
+        i, j = np.nonzero(x[rows] @ x[right].T >= THRESHOLD)
+        if len(i):
+            return pd.DataFrame({"a": [ids[rows[i[0]]]], "b": [ids[right[j[0]]]]})
+    return pd.DataFrame({"a": [], "b": []}).astype("int64")
+
+
+def _across(nodes: DataFrame, member: DataFrame, full: DataFrame) -> DataFrame | None:
+    """(a, b): a link for every two linked components in which some list is full; full: (a) those nodes.
+
+    Lists that are full of nearer nodes hide links to other groups, so the components are
+    compared exactly: cells of at most about `BLOCK` members by centre and radius, then
+    the members of the cells that this does not rule out.
+    """
+    named = member.withColumnRenamed("node", "id")
+    hot = named.join(full.withColumnRenamed("a", "id"), "id").select("component").distinct()
+    sizes = settle(named.join(hot, "component").groupBy("component").agg(F.count(F.lit(1)).alias("_n")))
+    if sizes.limit(2).count() < 2:
+        return None
+    rows = nodes.select("id", "vec").join(named.join(sizes, "component"), "id")
+    rows = settle(rows.select("id", "vec", "component", F.concat_ws(":", "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / BLOCK))).alias("cell")))
+    cells = settle(rows.groupBy("cell").applyInPandas(_cell, "cell string, component long, centre binary, radius double"))
+    blocks = max(1, math.ceil(cells.count() / BLOCK))
+    dealt = cells.withColumn("_i", F.pmod(F.xxhash64("cell"), F.lit(blocks))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.select("cell", "component", "centre", "radius", (F.col("_i") > F.col("_j")).cast("int").alias("side"), F.least("_i", "_j").alias("x"), F.greatest("_i", "_j").alias("y"))
+    pairs = settle(dealt.groupBy("x", "y").applyInPandas(_close, "p string, q string"))
+    both = pairs.select("p", "q", F.col("p").alias("cell"), F.lit(0).alias("side")).unionByName(pairs.select("p", "q", F.col("q").alias("cell"), F.lit(1).alias("side")))
+    met = both.join(rows.select("cell", "id", "vec"), "cell")
+    return settle(met.groupBy("p", "q").applyInPandas(_touch, "a long, b long"))
+
+
 def _audit(queries: list[tuple[int, int, bytes]]):
     ids = np.array([q[0] for q in queries], dtype=np.int64)
     comp = np.array([q[1] for q in queries], dtype=np.int64)
@@ -313,7 +378,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 break
             limits = _widen(limits, more)
             graph = _descend(graph, nodes, limits, more.select(F.col("a").alias("u")))
-        member = components(graph.where(F.col("sim") >= THRESHOLD))
+        linked = graph.where(F.col("sim") >= THRESHOLD)
+        member = components(linked)
+        bridges = _across(nodes, member, _saturated(graph, limits).select("a"))
+        if bridges is not None and bridges.limit(1).count():
+            member = components(linked.select("a", "b").unionByName(bridges))
         audit, decided = audited(nodes, member, n)
         if audit[3] >= RECALL and (decided or attempt):
             break

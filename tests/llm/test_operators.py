@@ -324,6 +324,26 @@ def test_nn_descent(spark):
     assert got == want
 
 
+def test_nn_descent_links_groups_whose_lists_are_full(spark, monkeypatch):
+    """Two groups larger than any list, whose members all have nearer neighbours in their own group."""
+    monkeypatch.setattr(nn_descent, "K", 4)
+    rnd = np.random.default_rng(12)
+    x = rnd.normal(size=(700, 32))
+    a, b = (v / np.linalg.norm(v) for v in x[:2])
+    b -= (a @ b) * a
+    b = 0.93 * a + math.sqrt(1 - 0.93**2) * b / np.linalg.norm(b)
+    x[:300] = a + rnd.normal(size=(300, 32)) * 0.02
+    x[300:600] = b + rnd.normal(size=(300, 32)) * 0.02
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    assert hit[:300, 300:600].sum() > 10_000
+    group = union(700, list(zip(*np.nonzero(hit))))
+    assert got == {i: (int(hit[i].sum()), group[i]) for i in range(700)}
+
+
 def test_audit_counts_queries_not_links(spark):
     """A large group that is whole does not outweigh pairs that are missed, and few links decide nothing."""
     rnd = np.random.default_rng(10)
