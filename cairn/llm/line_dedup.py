@@ -206,6 +206,13 @@ def without_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(*docs.columns)
 
 
+def without_similar(rows: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of `rows`, those whose whole text has no similar one earlier in `docs`; rows with a null key stay and remove none."""
+    whole = lambda: F.translate(text_of(), "\n", " ")
+    gone = repeats(docs.where(F.col(key).isNotNull()).select(key, whole().alias("text")), key).select(F.col("k").alias("_k"), F.col("h").alias("_h"))
+    return rows.join(gone, (rows[key].cast("long") == gone["_k"]) & (F.xxhash64(whole()) == gone["_h"]), "left_anti")
+
+
 #: The same join in DuckDB: similarity by counting common shingles.
 ORACLE = """
 WITH l AS (
