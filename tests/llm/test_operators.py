@@ -227,6 +227,13 @@ def test_packing(request, which):
         assert len(x) == 1 or len(x) * x[0]["bucket_len"] <= 4096
 
 
+def test_long_lengths_have_least_padding(spark):
+    """Lengths that differ by less than one part in 256, two buckets: the boundaries are lengths and the padding is least."""
+    lengths = [5000, 5001, 5003, 6006, 20_010, 20_021]
+    rows = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n_tokens long"), buckets=2).collect()
+    assert {r["bucket_len"] for r in rows} == {6006, 20_021} and sum(r["padding"] for r in rows) == 1006 + 1005 + 1003 + 11
+
+
 @pytest.mark.parametrize("which", ["odd", "none"])
 def test_line_dedup_odd(request, which):
     df = request.getfixturevalue(which)
