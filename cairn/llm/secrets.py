@@ -1,7 +1,7 @@
 """Secret scans judged by corpus-wide ownership frequency.
 
 Base findings (`assign`, `access`, `hex`) are located in every whole text. The method
-looks wider: any token of 16 to 256 key-like characters that mixes letters and digits and lies in no
+looks wider: any token of 16 or more key-like characters that mixes letters and digits and lies in no
 base finding is a candidate, known only by the SHA-256 of its characters. Over the
 whole corpus each hash is counted by distinct repositories and distinct owners. A
 hash that at least `common` owners or `common` repositories hold is a widely copied
@@ -38,8 +38,7 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A run of 16 or more hex digits: the maximal runs are the same as those of `[0-9a-f]+`.
 HEX = re.compile(r"[0-9a-f]{16,}")
-# Bounded, so that long encoded payloads do not pass for keys.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,256}(?![A-Za-z0-9+/_=-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 #: Bits a character a candidate must carry; words and numbers stay below it.
 ENTROPY = 3.0
 COMMON = 3

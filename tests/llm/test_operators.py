@@ -99,6 +99,16 @@ def test_ownership_separates_examples_from_live_keys(spark):
     assert secrets.mask("ab cdef g", "assign:3:7,hex:5:7") == "ab <assign> g"
 
 
+def test_long_keys_are_candidates(spark):
+    rnd = random.Random(13)
+    live, example = ("".join(rnd.choice("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)) for n in (257, 3000))
+    rows = [(i, f"see {example} here", "en", f"s{i}") for i in range(4)] + [(9, f"my {live} here", "en", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: (r["spans"], r["n_live"], r["n_example"]) for r in secrets.scan(df).collect()}
+    assert got[9] == ("token:3:260", 1, 0) and got[0] == ("", 0, 1)
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}[9] == "my <token> here"
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_pieces_equal_the_library(request, which):
     import sentencepiece
