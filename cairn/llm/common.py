@@ -22,6 +22,8 @@ def ship(module_name: str) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a local one only if it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -85,6 +87,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(docs: DataFrame, *keys) -> DataFrame:
+    """All columns of `docs` as one struct `row`, beside `keys`: no name of a later join can clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), *keys)
+
+
 def text_of(column: str = "text"):
     """A null text counts as empty everywhere."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -1,46 +1,54 @@
 """Line deduplication by an exact set-similarity join (DataFrame functions only).
 
-A line's tokens are its distinct five-word shingles; lines of fewer words carry no
-tokens and are left alone. A line is removed if an earlier line, by
-(document, line number), has a Jaccard similarity of at least 0.8 with it.
-
-1. Rarity: all tokens of the corpus are counted in `BUCKETS` hash buckets, a table of
-   fixed size, and every token is ordered by its bucket's level, then by its hash.
-   Any common order keeps the join exact; this one puts passages that many lines
-   share behind the prefixes.
-2. Prefix filter: two lines at similarity t share one of their n - ceil(t n) + 1 first
-   tokens. Lines with equal token sets are one class; a prefix token matters only
-   if two classes hold it, which one map-side-combined group-by decides.
-3. A line is first held against the earliest line it shares a prefix token with. Only
-   lines that this does not match go on: candidates in their tokens' groups are tried
-   in ranks 1, 2-8, 9-64 and so on, after the length and positional filters. So a family of thousands of near copies costs one
-   pair a line, not all pairs, and yet no pair is given up.
-4. Verification: exact Jaccard over the whole token sets.
-
-Tokens are 58-bit hashes of the shingles and classes 64-bit hashes of token sets.
-
-Defined cases: a null text has no lines; blank and short lines stay; a null id sorts
-first; rows that repeat both id and text lose the same lines; rows that share an id with
-different texts are ordered by their texts' hashes; an empty table gives no rows;
-extra columns are kept by `without_repeats` and ignored otherwise.
+A line's tokens are its distinct five-word shingles; a line of one to four words has one
+token, its whole word sequence. A line is removed if an earlier line, by (document, line
+number), has a Jaccard similarity of at least 0.8 with it. Lines with equal token sets are
+one class, so exact copies are one row from step 2 on.
+
+1. One pass over the texts writes the class of every line and the first q of its tokens in
+   hash order, q = n - ceil(0.8 n) + floor(n / 20) + 1. Two similar lines of n and m <= n tokens
+   share floor(m / 20) + 1 of these at least, which is floor(n / 25) + 1 or more.
+2. These tokens are counted by classes (map-side combined). A line with fewer than
+   floor(n / 25) + 1 tokens that two classes hold is similar to no other and drops out.
+3. Rarity: all tokens of the lines left are counted exactly. A line with fewer than
+   ceil(0.8 n) tokens that another line holds drops out as well: in the order of rarity its
+   whole prefix is its own. So a passage that many otherwise different lines share pairs
+   none of them.
+4. Prefix filter: tokens are ordered by (count, hash); of n tokens the first n - ceil(0.8 n) + 1
+   are the prefix, and those that are shared are the line's keys. Length and positional
+   filters follow, with the lines of a key ranked by place.
+5. A line is first held against the earliest line of each key; only lines that this does not
+   match go on to ranks 2-8, 9-64 and so on. So a family of thousands of near copies
+   costs a few pairs a line, not all pairs, and yet no pair is given up.
+6. Verification: exact Jaccard over the whole token sets.
+
+A token is the 64-bit hash of its words and a class the 64-bit hash of a token set (128 bits where
+equal lines are told from different ones), so a wrong verdict takes a collision of two of them.
+
+Why shingles and not single words as tokens: words of an ordinary vocabulary return in lines
+that have nothing in common, and the lines that share one multiply with the corpus.
+
+Defined cases: a null text has no lines; blank lines stay; very long lines are sets like any
+other, in rows of 8 bytes a token; a null id sorts first; rows that repeat both id and
+text lose the same lines; rows that share an id with different texts are ordered by their
+texts' hashes; of equal lines the first place stays; an empty table gives no rows; extra columns,
+whatever their names, are kept by `without_repeats` and ignored otherwise.
 """
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import free_shuffles, release, settle, text_of
+from cairn.llm.common import boxed, free_shuffles, release, settle, text_of
 
 WIDTH = 5
 SIMILAR = 0.8
-BUCKETS = 1 << 18
+#: Smaller sets are similar to no set but their equals.
+LEAST = 4
 PLACE = ["k", "h", "line"]
-#: Tables up to these counted rows (8 to 500 bytes each) are broadcast; larger ones are shuffled.
-FEW_TOKENS, FEW_PAIRS, FEW_SETS = 1_000_000, 200_000, 20_000
+#: Tables up to these counted rows (16 to 60 bytes each) are broadcast; larger ones are shuffled.
+FEW_TOKENS, FEW_LINES, FEW_PAIRS = 1_000_000, 400_000, 200_000
 
 
 def _let(value, use):
@@ -48,46 +56,35 @@ def _let(value, use):
 
 
 def _tokens(line):
-    """Distinct 58-bit shingle hashes of a line; none for fewer than five words."""
-    words = F.filter(F.split(line, " "), lambda x: x != "")
-    none = F.array().cast("array<bigint>")
+    """The distinct tokens of a line, in hash order."""
+    words = F.array_remove(F.split(line, " "), "")
 
     def shingles(h):
-        each = F.transform(F.sequence(F.lit(0), F.size(h) - WIDTH), lambda i: F.shiftrightunsigned(F.xxhash64(*[h[i + j] for j in range(WIDTH)]), 6))
-        return F.when(F.size(h) < WIDTH, none).otherwise(F.array_distinct(each))
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - WIDTH), lambda i: F.xxhash64(*[h[i + j] for j in range(WIDTH)]))
+        none = F.array().cast("array<bigint>")
+        return F.when(F.size(h) >= WIDTH, F.sort_array(F.array_distinct(each))).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(none)
 
     return _let(F.transform(words, lambda w: F.xxhash64(w)), shingles)
 
 
 def _plain(text):
     """`text` with every other word separator but newlines as a space: a literal split is much the faster one."""
-    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
-
-
-def _lines(docs: DataFrame, key: str) -> DataFrame:
-    """(k, h, line, tokens) of every line; no filter here, which the optimiser would compute the tokens twice for."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text_of()).alias("h"), F.posexplode(F.split(_plain(text_of()), "\n")).alias("line", "_text"))
-    return rows.select(*PLACE, _tokens(F.col("_text")).alias("tokens"))
+    odd = text.contains("\t") | text.contains("\x0b") | text.contains("\x0c") | text.contains("\r")
+    return F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
-def _levels(lines: DataFrame) -> str:
-    """The rarity level of every bucket as a JSON list: doublings over twice the mean, at most 31."""
-    single = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    got = single.toArrow()  # at most BUCKETS rows
-    counts = np.zeros(BUCKETS)
-    counts[got["b"].to_numpy()] = got["n"].to_numpy()
-    mean = max(counts.sum() / BUCKETS, 1e-9)
-    levels = np.clip(np.log2(np.maximum(1.0, counts / (2 * mean))), 0, 31).astype(int)
-    return json.dumps(levels.tolist(), separators=(",", ":")) if levels.any() else "[]"
+def _place(docs: DataFrame, key: str) -> list:
+    """The document's part of a place; a null id sorts first."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text_of()).alias("h")]
 
 
-def _ordered(tokens, levels: str):
-    """Tokens from the rarest level on, as longs that sort that way."""
-    if levels == "[]":
-        return F.sort_array(tokens)
-    table = F.from_json(F.lit(levels), "array<tinyint>")  # folded to one literal
-    level = lambda t: F.coalesce(F.get(table, t.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long")
-    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(level(t), 58).bitwiseOR(t)))
+def _lines(docs: DataFrame, key: str) -> DataFrame:
+    """(k, h, line, c, c2, n, head): every line's class, size and first tokens in hash order."""
+    rows = docs.select(*_place(docs, key), F.posexplode(F.split(_plain(text_of()), "\n")).alias("line", "_text"))
+    sets = rows.select(*PLACE, _tokens(F.col("_text")).alias("s"))  # no filter here, which the optimiser would compute the tokens twice for
+    n = F.size("s")
+    q = F.least(n, (n - _needed(n) + F.floor(n / 20) + 1).cast("int"))
+    return sets.select(*PLACE, F.xxhash64("s").alias("c"), F.xxhash64(F.lit(1), F.col("s")).alias("c2"), n.alias("n"), F.slice("s", F.lit(1), F.when(n < LEAST, 0).otherwise(q)).alias("head"))
 
 
 def _needed(n):
@@ -95,122 +92,142 @@ def _needed(n):
     return F.ceil(F.lit(SIMILAR) * n - F.lit(1e-9))
 
 
-def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(a, b) pairs that their prefixes do not rule out.
+def _some(df: DataFrame, most: int) -> DataFrame:
+    """`df`, marked for broadcast if it has no more rows than that."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _survivors(lines: DataFrame) -> DataFrame:
+    """(c, p): the classes with enough shared tokens at the head, and their first places."""
+    single = lines.where(F.col("n") >= LEAST).select("c", "n", F.explode("head").alias("t"))
+    common = settle(single.groupBy("t").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("t"))
+    held = single.join(_some(common, FEW_TOKENS), "t").distinct().groupBy("c", "n").agg(F.count(F.lit(1)).alias("_m"))
+    held = settle(held.where(F.col("_m") >= F.floor(F.col("n") / 25) + 1).select("c"))
+    first = lines.select(*PLACE, "c").join(_some(held, FEW_TOKENS), "c").groupBy("c").agg(F.min(F.struct(*PLACE)).alias("p"))
+    first = settle(first)
+    release(common, held)
+    return first
+
+
+def _sets(docs: DataFrame, key: str, lines: DataFrame, first: DataFrame) -> DataFrame:
+    """(c, p, s): the whole token sets of these classes, from their first lines."""
+    wanted = first.select("c", "p", "p.*").groupBy("k", "h").agg(F.collect_list(F.struct("line", "c", "p")).alias("want"))
+    rows = docs.select(*_place(docs, key), text_of().alias("text"))
+    if lines.where("line = 0").groupBy("k", "h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").limit(1).count():
+        rows = rows.dropDuplicates(["k", "h"])  # rows that repeat id and text
+    texts = rows.join(F.broadcast(wanted) if first.count() <= FEW_LINES else wanted, ["k", "h"])
+    chosen = _let(F.split(_plain(F.col("text")), "\n"), lambda x: F.transform("want", lambda w: F.struct(w["c"].alias("c"), w["p"].alias("p"), F.get(x, w["line"]).alias("t"))))
+    return settle(texts.select(F.explode(chosen).alias("w")).select("w.c", "w.p", _tokens(F.col("w.t")).alias("s")))
+
+
+def _keys(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t, c, n, i, p): the shared tokens of every prefix in the order of rarity, with their positions; and the sets of these classes."""
+    single = sets.select("c", F.size("s").alias("n"), F.explode("s").alias("t"))
+    shared = settle(single.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    few = _some(shared, FEW_TOKENS)
+    enough = single.join(few, "t").groupBy("c", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= _needed(F.col("n")))
+    left = settle(sets.join(settle(enough), "c"))
+    free_shuffles()
+    rank = F.row_number().over(Window.partitionBy("c").orderBy("df", "t"))  # a partition is one line
+    each = left.select("c", "p", "n", "m", F.explode("s").alias("t")).join(few, "t").select("t", "c", "n", "m", "p", rank.alias("r"))
+    keys = each.where(F.col("r") <= F.col("m") - _needed(F.col("n")) + 1).select("t", "c", "n", (F.col("n") - F.col("m") + F.col("r") - 1).alias("i"), "p")
+    keys = settle(keys)
+    release(shared)
+    return keys, left.select("c", "s")
+
+
+def _ranked(keys: DataFrame) -> DataFrame:
+    """`keys` with r, the rank of a line among those of its key by place.
 
-    A token of one prefix that sorts before the end of the other prefix and is not in it
-    is in no part of the other set, so it is missing for certain.
+    Range partitions may cut a key, so no task holds all the lines of a hot one.
     """
-    one = lambda x: prefixes.select(F.col("c").alias(x), F.col("n").alias("n" + x), F.col("prefix").alias("p" + x))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    shared = F.size(F.array_intersect("pa", "pb"))
-    inside = lambda x, y: F.size(F.filter(x, lambda t: t <= F.element_at(y, -1)))
-    most = F.least(F.col("na") - inside(F.col("pa"), F.col("pb")) + shared, F.col("nb") - inside(F.col("pb"), F.col("pa")) + shared)
-    need = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("na") + F.col("nb")) - 1e-9)
-    return settle(both.where((most >= need) & (F.col("na") >= _needed(F.col("nb"))) & (F.col("nb") >= _needed(F.col("na")))).select("a", "b"))
+    parts = settle(keys.repartitionByRange("t", "p", "c").withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("t", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("t").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    cut = settle(sizes.withColumn("_before", F.sum("_n").over(before)).where("_before > 0").select("t", "_part", "_before"))
+    own = F.row_number().over(Window.partitionBy("_part", "t").orderBy("p", "c"))
+    return settle(parts.withColumn("_own", own).join(cut, ["t", "_part"], "left").select("t", "c", "n", "i", "p", (F.col("_own") + F.coalesce("_before", F.lit(0))).alias("r")))
 
 
-def _verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of (a, b), the b whose similarity with a is enough."""
-    pairs = _possible(pairs, prefixes)
-    n = pairs.count()
-    left, right = sets.select(F.col("c").alias("a"), F.col("tokens").alias("_s")), sets.select(F.col("c").alias("b"), F.col("tokens").alias("_t"))
-    both = left.join(F.broadcast(pairs) if n <= FEW_PAIRS else pairs, "a")
-    both = right.join(F.broadcast(both) if n <= FEW_SETS else both, "b")
+    pairs = settle(pairs)
+    left, right = sets.select(F.col("c").alias("a"), F.col("s").alias("_s")), sets.select(F.col("c").alias("b"), F.col("s").alias("_t"))
+    both = right.join(left.join(_some(pairs, FEW_PAIRS), "a"), "b")
     shared = F.size(F.array_intersect("_s", "_t"))
     out = settle(both.where(shared >= F.lit(SIMILAR) * (F.size("_s") + F.size("_t") - shared) - 1e-9).select(F.col("b").alias("c")).distinct())
+    release(pairs)
     free_shuffles()
     return out
 
 
-def repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(k, h, removed): for each document that loses lines, their numbers in ascending order."""
-    levels = _levels(_lines(docs, key))
-    coded = _lines(docs, key).select(*PLACE, _ordered(F.col("tokens"), levels).alias("s"))
-    lines = settle(coded.select(
-        *PLACE, F.xxhash64("s").alias("c"), F.xxhash64(F.lit(1), F.col("s")).alias("c2"), F.size("s").alias("n"),
-        F.slice("s", F.lit(1), F.when(F.size("s") == 0, 0).otherwise(F.size("s") - _needed(F.size("s")) + 1).cast("int")).alias("prefix"),
-    )).where("n > 0")
-    # Prefix tokens that two classes hold.
-    single = lines.select("c", "n", F.posexplode("prefix").alias("i", "t"))
-    common = single.groupBy("t").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("t")
-    common = settle(common)
-    few = common.count() <= FEW_TOKENS
-    cand = settle(single.join(F.broadcast(common) if few else common, "t").select("t", "c", "n", "i").distinct())
-    free_shuffles()
-    matched = _matched(docs, key, lines, cand, levels)
-
-    place = F.struct(*PLACE)
-    first = lines.groupBy("c", "c2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    known = first.join(matched.withColumn("_hit", F.lit(True)), "c", "left").where("_n > 1 or _hit")
-    gone = lines.select(*PLACE, "c", "c2").join(settle(known), ["c", "c2"]).where(F.col("_hit") | (place != F.col("_first")))
-    out = settle(gone.groupBy("k", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
-    release(lines, cand)
-    return out
+def _alike(n, m):
+    """The length filter."""
+    return (F.col(n) >= _needed(F.col(m))) & (F.col(m) >= _needed(F.col(n)))
 
 
-def _matched(docs: DataFrame, key: str, lines: DataFrame, cand: DataFrame, levels: str) -> DataFrame:
+def _matched(keys: DataFrame, sets: DataFrame) -> DataFrame:
     """(c): the classes with an earlier similar class."""
-    classes = cand.select("c").distinct()
-    first = settle(lines.select(*PLACE, "c").join(classes, "c").groupBy("c").agg(F.min(F.struct(*PLACE)).alias("p")))
-    # The whole token sets of these classes only, from their first lines.
-    wanted = first.select("c", "p.*").groupBy("k", "h").agg(F.collect_list(F.struct("line", "c")).alias("want"))
-    id_, h = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text_of())
-    texts = docs.select(id_.alias("k"), h.alias("h"), text_of().alias("text")).join(wanted, ["k", "h"])
-    chosen = _let(F.split(_plain(F.col("text")), "\n"), lambda x: F.transform("want", lambda w: F.struct(w["c"].alias("c"), F.get(x, w["line"]).alias("t"))))
-    sets = settle(texts.select(F.explode(chosen).alias("w")).select("w.c", _ordered(_tokens(F.col("w.t")), levels).alias("tokens")))
-    prefixes = settle(lines.select("c", "n", "prefix").join(classes, "c", "left_semi").dropDuplicates(["c"]))
-
-    ranked = cand.join(first, "c").select("t", "c", "n", "i", "p", F.row_number().over(Window.partitionBy("t").orderBy("p", "c")).alias("r"))
-    ranked = settle(ranked)
+    ranked = _ranked(keys)
     last = ranked.agg(F.coalesce(F.max("r"), F.lit(0))).first()[0]
-    free_shuffles()
-    # Most lines match the earliest line that they share a token with: one pair a line.
-    starts = ranked.where("r = 1").select("t", F.struct("p", "c").alias("_a"))
-    pairs = ranked.where("r > 1").join(starts, "t").groupBy("c").agg(F.min("_a").alias("_a")).select(F.col("_a.c").alias("a"), F.col("c").alias("b"))
-    found = _verified(pairs, prefixes, sets)
-    left = settle(ranked.join(found, "c", "left_anti"))
+    # Most lines match the earliest line that they share a key with: one pair a line.
+    starts = ranked.where("r = 1").select("t", F.struct("p", "c").alias("_a"), F.col("n").alias("na"))
+    pairs = ranked.where("r > 1").join(starts, "t").where(_alike("na", "n")).groupBy("c").agg(F.min("_a").alias("_a")).select(F.col("_a.c").alias("a"), F.col("c").alias("b"))
+    found = _verified(pairs, sets)
+    left = settle(ranked.join(found, "c", "left_anti").where("r > 1"))
     low, high = 1, 1
     while low < last and left.limit(1).count():
         a = ranked.where(F.col("r").between(low, high)).select("t", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("r").alias("ra"))
         b = left.select("t", F.col("c").alias("b"), "n", "i", "r").where(F.col("r") > low)
-        met = b.join(a, "t").where((F.col("ra") < F.col("r")) & (F.col("na") >= _needed(F.col("n"))) & (F.col("n") >= _needed(F.col("na"))))
+        met = b.join(a, "t").where((F.col("ra") < F.col("r")) & _alike("na", "n"))
         # What can be shared before, at and behind the common token.
-        most = F.least("ia", "i") + 1 + F.least(F.col("na") - F.col("ia"), F.col("n") - F.col("i")) - 1
+        most = F.least("ia", "i") + F.least(F.col("na") - F.col("ia"), F.col("n") - F.col("i"))
         need = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("na") + F.col("n")) - 1e-9)
-        hits = _verified(met.where(most >= need).select("a", "b").distinct(), prefixes, sets)
+        hits = _verified(met.where(most >= need).select("a", "b").distinct(), sets)
         found = found.unionByName(hits)
         low, high = high + 1, 8 * high
         left = settle(left.join(hits, "c", "left_anti").where(F.col("r") > low))
     return settle(found.distinct())
 
 
+def repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(k, h, removed): for each document that loses lines, their numbers in ascending order."""
+    lines = settle(_lines(docs, key)).where("n > 0")
+    first = _survivors(lines)
+    free_shuffles()
+    keys, sets = _keys(_sets(docs, key, lines, first))
+    matched = _matched(keys, sets)
+    place = F.struct(*PLACE)
+    classes = lines.groupBy("c", "c2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    known = classes.join(matched.withColumn("_hit", F.lit(True)), "c", "left").where("_n > 1 or _hit")
+    gone = lines.select(*PLACE, "c", "c2").join(settle(known), ["c", "c2"]).where(F.col("_hit") | (place != F.col("_first")))
+    return settle(gone.groupBy("k", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
+
+
 def report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_lines, n_removed, removed_lines) for every row."""
-    rows = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text_of()).alias("h"), F.size(F.split(text_of(), "\n")).cast("long").alias("n_lines"))
+    rows = docs.select(F.col(key).alias("_key"), *_place(docs, key), F.size(F.split(text_of(), "\n")).cast("long").alias("n_lines"))
     found = rows.join(repeats(docs, key), ["k", "h"], "left")
     return found.select(
-        key, "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines")
+        F.col("_key").alias(key), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines")
     )
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """`docs` without the removed lines; a document that loses its last words goes."""
-    gone = repeats(docs, key).withColumnsRenamed({"k": "_k", "h": "_h", "removed": "_removed"})
-    same = (F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))) == gone["_k"]) & (F.xxhash64(text_of()) == gone["_h"])
-    kept = F.array_join(F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    rows = docs.join(gone, same, "left").withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))
-    rows = rows.where(F.col("_removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+    rows = boxed(docs, *_place(docs, key)).join(repeats(docs, key), ["k", "h"], "left")
+    kept = _let(F.split(F.col("row.text"), "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: x[i]), "\n"))
+    rows = rows.select("row", F.col("removed").isNotNull().alias("_cut"), F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept).alias("text"))
+    rows = rows.where(~F.col("_cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    chars = {"n_chars": lambda: F.when(F.col("_cut"), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType), "text": lambda: F.col("text")}
+    return rows.select(*[(chars[x]() if x in chars else F.col(f"row.`{x}`")).alias(x) for x in docs.columns])
 
 
 def without_similar(rows: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Of `rows`, those whose whole text has no similar one earlier in `docs`; rows with a null key stay and remove none."""
     whole = lambda: F.translate(text_of(), "\n", " ")
-    gone = repeats(docs.where(F.col(key).isNotNull()).select(key, whole().alias("text")), key).select(F.col("k").alias("_k"), F.col("h").alias("_h"))
-    return rows.join(gone, (rows[key].cast("long") == gone["_k"]) & (F.xxhash64(whole()) == gone["_h"]), "left_anti")
+    gone = repeats(docs.where(F.col(key).isNotNull()).select(key, whole().alias("text")), key).select("k", "h")
+    return boxed(rows, F.col(key).cast("long").alias("k"), F.xxhash64(whole()).alias("h")).join(gone, ["k", "h"], "left_anti").select("row.*")
 
 
 #: The same join in DuckDB: similarity by counting common shingles.
@@ -221,8 +238,8 @@ WITH l AS (
 ), w AS (
   SELECT doc_id, line_no, list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM l
 ), s AS (
-  SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS ts
-  FROM w WHERE len(ws) >= 5
+  SELECT doc_id, line_no, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) ELSE [array_to_string(ws, ' ')] END AS ts
+  FROM w WHERE len(ws) >= 1
 ), n AS (SELECT *, len(ts) AS n FROM s),
 t AS (SELECT doc_id, line_no, n, unnest(ts) AS t FROM n),
 o AS (
