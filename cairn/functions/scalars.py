@@ -21,10 +21,10 @@ def human_age(ns):
 
 
 def human_bytes(n):
-    """F3, F4"""
+    """one decimal, ties to the even digit."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for i, x in enumerate("KMGTPE"):
-        out = F.when(n >= 1024 ** (i + 1), F.format_string(f"%.1f {x}iB", n / F.lit(float(1024 ** (i + 1))))).otherwise(out)
+        out = F.when(n >= 1024 ** (i + 1), F.format_string(f"%.1f {x}iB", F.bround(n / F.lit(float(1024 ** (i + 1))), 1))).otherwise(out)
     return out
 
 

@@ -51,7 +51,7 @@ def shallow_hashes(rows: DataFrame) -> DataFrame:
 EMPTY = "shallow:"
 
 
-def folder_hashes(c, max_depth: int = 64) -> DataFrame:
+def folder_hashes(c) -> DataFrame:
     """H2, H4, H5: (volume_id, path, shallow, deep) of every folder.
 
     Levels from the deepest up; a level is one join and one group-by, so the number
@@ -62,7 +62,7 @@ def folder_hashes(c, max_depth: int = 64) -> DataFrame:
     empty = F.sha2(F.lit(DOMAIN + EMPTY), 256)
     depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
     rows = c.folders.select("volume_id", "path").join(own, ["volume_id", "path"], "left").select("volume_id", "path", F.coalesce("shallow", empty).alias("shallow"), depth.alias("depth"))
-    deepest = min(max_depth, rows.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0])
+    deepest = rows.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     done, below = None, None
     for level in range(deepest, -1, -1):
         now = rows.where(F.col("depth") == level)
