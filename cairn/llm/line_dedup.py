@@ -15,10 +15,11 @@ one class, so exact copies are one row from step 2 on.
    whole prefix is its own. So a passage that many otherwise different lines share pairs
    none of them.
 4. Prefix filter: tokens are ordered by (count, hash); of n tokens the first n - ceil(0.8 n) + 1
-   are the prefix, and those that are shared are the line's keys. Length and positional
-   filters follow, with the lines of a key ranked by place.
+   are the prefix, and those that are shared are the line's keys. Length and positional filters
+   follow, and a bound on the difference: each line's shared tokens leave 256 parity
+   bits, and two sets differ in at least as many tokens as their bits do.
 5. A line is first held against the earliest line of each key; only lines that this does not
-   match go on to ranks 2-8, 9-64 and so on. So a family of thousands of near copies
+   match go on to the lines of rank 2-16, 17-256 and so on. So a family of thousands of near copies
    costs a few pairs a line, not all pairs, and yet no pair is given up.
 6. Verification: exact Jaccard over the whole token sets.
 
@@ -48,7 +49,7 @@ SIMILAR = 0.8
 LEAST = 4
 PLACE = ["k", "h", "line"]
 #: Tables up to these counted rows (16 to 60 bytes each) are broadcast; larger ones are shuffled.
-FEW_TOKENS, FEW_LINES, FEW_PAIRS = 1_000_000, 400_000, 200_000
+FEW_LINES, FEW_PAIRS = 400_000, 200_000
 
 
 def _let(value, use):
@@ -78,61 +79,70 @@ def _place(docs: DataFrame, key: str) -> list:
     return [F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text_of()).alias("h")]
 
 
-def _lines(docs: DataFrame, key: str) -> DataFrame:
-    """(k, h, line, c, c2, n, head): every line's class, size and first tokens in hash order."""
-    rows = docs.select(*_place(docs, key), F.posexplode(F.split(_plain(text_of()), "\n")).alias("line", "_text"))
-    sets = rows.select(*PLACE, _tokens(F.col("_text")).alias("s"))  # no filter here, which the optimiser would compute the tokens twice for
-    n = F.size("s")
-    q = F.least(n, (n - _needed(n) + F.floor(n / 20) + 1).cast("int"))
-    return sets.select(*PLACE, F.xxhash64("s").alias("c"), F.xxhash64(F.lit(1), F.col("s")).alias("c2"), n.alias("n"), F.slice("s", F.lit(1), F.when(n < LEAST, 0).otherwise(q)).alias("head"))
-
-
 def _needed(n):
     """Tokens of n that a similar line must share."""
     return F.ceil(F.lit(SIMILAR) * n - F.lit(1e-9))
 
 
-def _some(df: DataFrame, most: int) -> DataFrame:
-    """`df`, marked for broadcast if it has no more rows than that."""
-    return F.broadcast(df) if df.count() <= most else df
+def _lines(docs: DataFrame, key: str) -> DataFrame:
+    """(k, h, line, n_lines, no_key, c, c2, n, head): every line's class, size and first tokens in hash order."""
+    # What is the document's is computed before the lines are; behind them it would be computed for each line.
+    split = F.split(_plain(text_of()), "\n")
+    texts = docs.select(*_place(docs, key), F.col(key).isNull().alias("no_key"), F.size(split).cast("long").alias("n_lines"), split.alias("_all"))
+    rows = texts.select("k", "h", "no_key", "n_lines", F.posexplode_outer("_all").alias("line", "_text"))  # outer: no filter that splits again
+    sets = rows.select(*PLACE, "n_lines", "no_key", _tokens(F.col("_text")).alias("s"))  # no filter here, which the optimiser would compute the tokens twice for
+    n = F.size("s")
+    q = F.least(n, (n - _needed(n) + F.floor(n / 20) + 1).cast("int"))
+    head = F.slice("s", F.lit(1), F.when(n < LEAST, 0).otherwise(q))
+    return sets.select(*PLACE, "n_lines", "no_key", F.xxhash64("s").alias("c"), F.xxhash64(F.lit(1), F.col("s")).alias("c2"), n.alias("n"), head.alias("head"))
 
 
 def _survivors(lines: DataFrame) -> DataFrame:
     """(c, p): the classes with enough shared tokens at the head, and their first places."""
-    single = lines.where(F.col("n") >= LEAST).select("c", "n", F.explode("head").alias("t"))
+    single = lines.where(F.col("n") >= LEAST).select("c", F.explode("head").alias("t"))
     common = settle(single.groupBy("t").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("t"))
-    held = single.join(_some(common, FEW_TOKENS), "t").distinct().groupBy("c", "n").agg(F.count(F.lit(1)).alias("_m"))
-    held = settle(held.where(F.col("_m") >= F.floor(F.col("n") / 25) + 1).select("c"))
-    first = lines.select(*PLACE, "c").join(_some(held, FEW_TOKENS), "c").groupBy("c").agg(F.min(F.struct(*PLACE)).alias("p"))
-    first = settle(first)
-    release(common, held)
+    free_shuffles()
+    # The side that is built is the smaller by far; the other need not be sorted.
+    held = settle(single.join(common.hint("shuffle_hash"), "t").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("_m")))
+    enough = F.col("_m") >= F.floor(F.col("n") / 25) + 1
+    first = settle(lines.select(*PLACE, "c", "n").join(held, "c").where(enough).groupBy("c").agg(F.min(F.struct(*PLACE)).alias("p")))
+    release(held, common)
     return first
 
 
 def _sets(docs: DataFrame, key: str, lines: DataFrame, first: DataFrame) -> DataFrame:
     """(c, p, s): the whole token sets of these classes, from their first lines."""
-    wanted = first.select("c", "p", "p.*").groupBy("k", "h").agg(F.collect_list(F.struct("line", "c", "p")).alias("want"))
+    wanted = first.select("c", "p.*").groupBy("k", "h").agg(F.collect_list(F.struct("line", "c")).alias("want"))
     rows = docs.select(*_place(docs, key), text_of().alias("text"))
     if lines.where("line = 0").groupBy("k", "h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").limit(1).count():
         rows = rows.dropDuplicates(["k", "h"])  # rows that repeat id and text
     texts = rows.join(F.broadcast(wanted) if first.count() <= FEW_LINES else wanted, ["k", "h"])
-    chosen = _let(F.split(_plain(F.col("text")), "\n"), lambda x: F.transform("want", lambda w: F.struct(w["c"].alias("c"), w["p"].alias("p"), F.get(x, w["line"]).alias("t"))))
-    return settle(texts.select(F.explode(chosen).alias("w")).select("w.c", "w.p", _tokens(F.col("w.t")).alias("s")))
+    chosen = _let(F.split(_plain(F.col("text")), "\n"), lambda x: F.transform("want", lambda w: F.struct(w["line"].alias("line"), w["c"].alias("c"), F.get(x, w["line"]).alias("t"))))
+    each = texts.select("k", "h", F.explode_outer(chosen).alias("w"))
+    return settle(each.select("w.c", F.struct("k", "h", "w.line").alias("p"), _tokens(F.col("w.t")).alias("s")))
+
+
+def _parity(part: int):
+    """Of 64 bits, those that an odd number of the shared tokens of a quarter fall on."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t").bitwiseAND(63).cast("int"))
+    return F.bit_xor(F.when(F.shiftrightunsigned("t", 6).bitwiseAND(3) == part, bit).otherwise(F.lit(0).cast("long")))
 
 
 def _keys(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(t, c, n, i, p): the shared tokens of every prefix in the order of rarity, with their positions; and the sets of these classes."""
+    """(t, c, n, i, p, own, x0..x3): the shared tokens of every prefix in the order of rarity, with their positions; and the sets of these classes."""
     single = sets.select("c", F.size("s").alias("n"), F.explode("s").alias("t"))
     shared = settle(single.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    few = _some(shared, FEW_TOKENS)
-    enough = single.join(few, "t").groupBy("c", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= _needed(F.col("n")))
-    left = settle(sets.join(settle(enough), "c"))
     free_shuffles()
-    rank = F.row_number().over(Window.partitionBy("c").orderBy("df", "t"))  # a partition is one line
-    each = left.select("c", "p", "n", "m", F.explode("s").alias("t")).join(few, "t").select("t", "c", "n", "m", "p", rank.alias("r"))
-    keys = each.where(F.col("r") <= F.col("m") - _needed(F.col("n")) + 1).select("t", "c", "n", (F.col("n") - F.col("m") + F.col("r") - 1).alias("i"), "p")
-    keys = settle(keys)
-    release(shared)
+    line = Window.partitionBy("c")  # one line's tokens
+    held = single.join(shared.hint("shuffle_hash"), "t").withColumn("m", F.count(F.lit(1)).over(line.orderBy("df", "t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    held = settle(held.withColumn("r", F.row_number().over(line.orderBy("df", "t"))).where(F.col("m") >= _needed(F.col("n"))).select("c", "n", "m", "t", "r"))
+    free_shuffles()
+    marks = held.groupBy("c").agg(*[_parity(j).alias(f"x{j}") for j in range(4)])
+    left = settle(sets.join(marks, "c"))
+    keys = held.where(F.col("r") <= F.col("m") - _needed(F.col("n")) + 1).select("t", "c", "n", (F.col("n") - F.col("m") + F.col("r") - 1).alias("i"), (F.col("n") - F.col("m")).alias("own"))
+    keys = settle(keys.join(left.drop("s"), "c"))
+    release(held, shared)
+    free_shuffles()
     return keys, left.select("c", "s")
 
 
@@ -146,14 +156,15 @@ def _ranked(keys: DataFrame) -> DataFrame:
     before = Window.partitionBy("t").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     cut = settle(sizes.withColumn("_before", F.sum("_n").over(before)).where("_before > 0").select("t", "_part", "_before"))
     own = F.row_number().over(Window.partitionBy("_part", "t").orderBy("p", "c"))
-    return settle(parts.withColumn("_own", own).join(cut, ["t", "_part"], "left").select("t", "c", "n", "i", "p", (F.col("_own") + F.coalesce("_before", F.lit(0))).alias("r")))
+    ranked = parts.withColumn("_own", own).join(cut, ["t", "_part"], "left")
+    return settle(ranked.select(*keys.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).alias("r")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of (a, b), the b whose similarity with a is enough."""
     pairs = settle(pairs)
     left, right = sets.select(F.col("c").alias("a"), F.col("s").alias("_s")), sets.select(F.col("c").alias("b"), F.col("s").alias("_t"))
-    both = right.join(left.join(_some(pairs, FEW_PAIRS), "a"), "b")
+    both = right.join(left.join(F.broadcast(pairs) if pairs.count() <= FEW_PAIRS else pairs, "a"), "b")
     shared = F.size(F.array_intersect("_s", "_t"))
     out = settle(both.where(shared >= F.lit(SIMILAR) * (F.size("_s") + F.size("_t") - shared) - 1e-9).select(F.col("b").alias("c")).distinct())
     release(pairs)
@@ -161,38 +172,40 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def _alike(n, m):
-    """The length filter."""
-    return (F.col(n) >= _needed(F.col(m))) & (F.col(m) >= _needed(F.col(n)))
+def _possible():
+    """What the lengths, the positions of the common token and the parities leave possible of a and the row's own line."""
+    n, na = F.col("n"), F.col("na")
+    most = F.least("ia", "i") + F.least(na - F.col("ia"), n - F.col("i"))  # shared before, at and behind the common token
+    need = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (na + n) - 1e-9)
+    # Tokens in one line only: those that no other line has, and at least one for each bit that differs.
+    odd = F.col("own") + F.col("owna")
+    for j in range(4):
+        odd = odd + F.bit_count(F.col(f"x{j}").bitwiseXOR(F.col(f"x{j}a")))
+    return (na >= _needed(n)) & (n >= _needed(na)) & (most >= need) & (odd <= na + n - 2 * need)
 
 
 def _matched(keys: DataFrame, sets: DataFrame) -> DataFrame:
     """(c): the classes with an earlier similar class."""
     ranked = _ranked(keys)
     last = ranked.agg(F.coalesce(F.max("r"), F.lit(0))).first()[0]
+    marks = ["n", "i", "own", "x0", "x1", "x2", "x3"]
+    earlier = ranked.select("t", F.col("c").alias("a"), F.col("p").alias("pa"), F.col("r").alias("ra"), *[F.col(x).alias(x + "a") for x in marks])
     # Most lines match the earliest line that they share a key with: one pair a line.
-    starts = ranked.where("r = 1").select("t", F.struct("p", "c").alias("_a"), F.col("n").alias("na"))
-    pairs = ranked.where("r > 1").join(starts, "t").where(_alike("na", "n")).groupBy("c").agg(F.min("_a").alias("_a")).select(F.col("_a.c").alias("a"), F.col("c").alias("b"))
-    found = _verified(pairs, sets)
+    met = ranked.where("r > 1").join(earlier.where("ra = 1"), "t").where(_possible())
+    found = _verified(met.groupBy("c").agg(F.min(F.struct("pa", "a")).alias("_a")).select(F.col("_a.a").alias("a"), F.col("c").alias("b")), sets)
     left = settle(ranked.join(found, "c", "left_anti").where("r > 1"))
     low, high = 1, 1
     while low < last and left.limit(1).count():
-        a = ranked.where(F.col("r").between(low, high)).select("t", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("r").alias("ra"))
-        b = left.select("t", F.col("c").alias("b"), "n", "i", "r").where(F.col("r") > low)
-        met = b.join(a, "t").where((F.col("ra") < F.col("r")) & _alike("na", "n"))
-        # What can be shared before, at and behind the common token.
-        most = F.least("ia", "i") + F.least(F.col("na") - F.col("ia"), F.col("n") - F.col("i"))
-        need = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("na") + F.col("n")) - 1e-9)
-        hits = _verified(met.where(most >= need).select("a", "b").distinct(), sets)
+        met = left.where(F.col("r") > low).join(earlier.where(F.col("ra").between(low, high)), "t").where((F.col("ra") < F.col("r")) & _possible())
+        hits = _verified(met.select("a", F.col("c").alias("b")).distinct(), sets)
         found = found.unionByName(hits)
-        low, high = high + 1, 8 * high
+        low, high = high + 1, 16 * high
         left = settle(left.join(hits, "c", "left_anti").where(F.col("r") > low))
     return settle(found.distinct())
 
 
-def repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(k, h, removed): for each document that loses lines, their numbers in ascending order."""
-    lines = settle(_lines(docs, key)).where("n > 0")
+def _repeats(lines: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    lines = lines.where("n > 0")
     first = _survivors(lines)
     free_shuffles()
     keys, sets = _keys(_sets(docs, key, lines, first))
@@ -204,12 +217,18 @@ def repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return settle(gone.groupBy("k", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
+def repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(k, h, removed): for each document that loses lines, their numbers in ascending order."""
+    return _repeats(settle(_lines(docs, key)), docs, key)
+
+
 def report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_lines, n_removed, removed_lines) for every row."""
-    rows = docs.select(F.col(key).alias("_key"), *_place(docs, key), F.size(F.split(text_of(), "\n")).cast("long").alias("n_lines"))
-    found = rows.join(repeats(docs, key), ["k", "h"], "left")
+    lines = settle(_lines(docs, key))
+    rows = lines.where("line = 0").select("k", "h", "no_key", "n_lines")  # a text has one line at least
+    found = rows.join(_repeats(lines, docs, key), ["k", "h"], "left")
     return found.select(
-        F.col("_key").alias(key), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines")
+        F.when(~F.col("no_key"), F.col("k")).cast(docs.schema[key].dataType).alias(key), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines")
     )
 
 

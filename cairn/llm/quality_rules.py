@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import settle, text_of
+from cairn.llm.common import boxed, settle, text_of
 
 SPACE = r"[\x20\x09-\x0D]+"
 STATS = ["x1", "x2", "x3", "x4", "x5"]
@@ -185,13 +185,14 @@ def judge(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     few = named.count() <= 10_000
     rows = settle(fit.join(F.broadcast(named) if few else named, ["_lang", "_source"]).select("_key", *numbers, "base_failed", "grp", *STATS))
     # Each row is fitted once in the estimate of its own group and, where larger units are needed, in theirs.
-    levels = {r[0] for r in named.where(F.col("grp").isNotNull() & ~F.col("grp").contains("\x00")).select("grp").distinct().limit(10_001).collect()}
+    larger = named.where(~F.col("grp").contains("\x00"))
+    by_language, by_corpus = (larger.where(x).limit(1).count() > 0 for x in (F.col("grp") != "*", F.col("grp") == "*"))
     wanted = rows.where(F.col("grp").contains("\x00")).select("grp", *STATS)
-    if levels - {"*"}:
+    if by_language:
         langs = fit.join(F.broadcast(named) if few else named, ["_lang", "_source"]).select("_lang", *STATS)
         need = named.where(~F.col("grp").contains("\x00") & (F.col("grp") != "*")).select(F.col("grp").alias("_lang")).distinct()
         wanted = wanted.unionByName(langs.join(need, "_lang", "left_semi").withColumnRenamed("_lang", "grp"))
-    if "*" in levels:
+    if by_corpus:
         wanted = wanted.unionByName(fit.select(F.lit("*").alias("grp"), *STATS))
     found = estimates(settle(wanted), few)
     d2 = _with_groups(rows, found, few).withColumn("distance", _distance())
@@ -202,8 +203,9 @@ def judge(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def keep_clean(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents that pass; a rejected key takes all its rows with it."""
-    bad = judge(docs, key).where(~F.col("kept")).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(settle(bad), docs[key].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = settle(judge(docs, key).where(~F.col("kept")).select(F.col(key).alias("bad")).distinct())
+    rows = boxed(docs, F.col(key).alias("id"))
+    return rows.join(bad, rows["id"].eqNullSafe(bad["bad"]), "left_anti").select("row.*")
 
 
 def oracle() -> str:

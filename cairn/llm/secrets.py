@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cairn.llm.common import settle, ship, text_of
+from cairn.llm.common import boxed, settle, ship, text_of
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -109,7 +109,9 @@ def scan(docs: DataFrame, key: str = "doc_id", repo=None, owner=None, common: in
     and an owner a source.
     """
     owner = F.col("source") if owner is None else owner
-    repo = F.concat_ws("/", F.col("source"), F.col("lang")) if repo is None else repo
+    # A null source or language is its own, also beside the same text in the other column.
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    repo = F.concat_ws("/", named("source"), named("lang")) if repo is None else repo
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
     seen = rows.mapInArrow(_scan, SCHEMA).withColumn("_row", F.monotonically_increasing_id())
     seen = settle(seen)
@@ -148,15 +150,18 @@ def _masked(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def redact(docs: DataFrame, key: str = "doc_id", common: int = COMMON) -> DataFrame:
-    """`docs` with every found span of its texts replaced by its kind in angle brackets; all rows stay.
+    """`docs` with every found span of its texts replaced by its kind in angle brackets; all rows stay, n_chars follows.
 
     Spans are joined by key and the text's hash, so rows that share a key keep their own.
     """
     found = scan(docs, key, common=common).where("spans <> ''")
-    marks = settle(found.select(F.col(key).alias("_k"), F.col("text_hash").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_k", "_h"]))
-    same = docs[key].cast("long").eqNullSafe(marks["_k"]) & (F.xxhash64(text_of()) == marks["_h"])
-    rows = docs.join(marks, same, "left")
-    return rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_masked("text", "_spans"))).select(*docs.columns)
+    marks = settle(found.select(F.col(key).alias("mk"), F.col("text_hash").alias("mh"), "spans").dropDuplicates(["mk", "mh"]))
+    rows = boxed(docs, F.col(key).cast("long").alias("k"), F.xxhash64(text_of()).alias("h"))
+    rows = rows.join(marks, rows["k"].eqNullSafe(marks["mk"]) & (rows["h"] == marks["mh"]), "left")
+    body, found_some = F.col("row.text"), F.col("spans").isNotNull()
+    rows = rows.select("row", found_some.alias("cut"), F.when(found_some, _masked(body, F.col("spans"))).otherwise(body).alias("text"))
+    new = {"text": lambda: F.col("text"), "n_chars": lambda: F.when(F.col("cut"), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)}
+    return rows.select(*[(new[x]() if x in new else F.col(f"row.`{x}`")).alias(x) for x in docs.columns])
 
 
 ship(__name__)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import settle, text_of
+from cairn.llm.common import boxed, settle, text_of
 
 
 def byte_shards(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str = "text", overhead: int = 8) -> DataFrame:
@@ -54,19 +54,18 @@ def byte_shards(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", text:
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, key: str = "doc_id") -> None:
-    """Write every row of `docs` under its shard's folder, in slot order.
+    """Write every row of `docs` as a struct `row`, with its slot, under its shard's folder, in slot order.
 
-    Each shard is one folder; rows with the same (key, checksum, size) are
+    A struct, so that no column of `docs` can clash with shard and slot. Each shard is one folder of one or more files; rows with the same (key, checksum, size) are
     interchangeable, so any of their slots may fall to any of them.
     """
-    from functools import reduce
-
-    marks = [key, "size", "text_crc32"]
-    w = Window.partitionBy(*marks).orderBy("_tie")
-    plan = byte_shards(docs, n_shards, key).withColumn("_tie", F.col("shard") * F.lit(1 << 40) + F.col("slot"))
-    plan = plan.withColumn("_copy", F.row_number().over(w))
-    rows = docs.withColumn("size", (F.octet_length(text_of()) + 8).cast("long")).withColumn("text_crc32", F.crc32(text_of()))
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*marks).orderBy(F.lit(0))))
-    same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(plan[c]) for c in [*marks, "_copy"]])
-    out = rows.join(plan, same).select(*[rows[c] for c in docs.columns], plan["shard"], plan["slot"])
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    marks = ["size", "text_crc32"]
+    plan = byte_shards(docs, n_shards, key).withColumnRenamed(key, "id")
+    plan = plan.withColumn("copy", F.row_number().over(Window.partitionBy("id", *marks).orderBy("shard", "slot")))
+    plan = plan.select(F.col("id").alias("pid"), F.col("size").alias("psize"), F.col("text_crc32").alias("pcrc"), F.col("copy").alias("pcopy"), "shard", "slot")
+    rows = boxed(docs, F.col(key).alias("id"), (F.octet_length(text_of()) + 8).cast("long").alias("size"), F.crc32(text_of()).alias("text_crc32"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", *marks).orderBy(F.lit(0))))
+    same = F.col("id").eqNullSafe(F.col("pid")) & (F.col("size") == F.col("psize")) & (F.col("text_crc32") == F.col("pcrc")) & (F.col("copy") == F.col("pcopy"))
+    # Ranges of (shard, slot), as many as the session's shuffles have: a shard may be several files in order.
+    out = rows.join(plan, same).select("row", "shard", "slot").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    out.select("row", "slot", "shard").write.partitionBy("shard").parquet(path)

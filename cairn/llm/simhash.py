@@ -10,8 +10,8 @@ of a variant are verified against the next one, which links all of them.
 Defined cases: a null text has no words; a text without words has fingerprint zero and
 is linked like any other; fewer words than a shingle are one shingle; a null id is a
 document that joins a group but never names one, unless all its members are null;
-repeated rows share a group; an empty table gives no rows; extra columns are kept by
-`keep_first` and ignored otherwise.
+repeated rows share a group; very long texts are read whole; an empty table gives no rows; extra
+columns, whatever their names, are kept by `keep_first` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import settle, ship, text_of
+from cairn.llm.common import boxed, settle, ship, text_of
 from cairn.llm.components import components
 
 WIDTH = 3
@@ -85,9 +85,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Rows with a null key name no group: they stay.
     """
-    gone = near_duplicates(docs, key).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    kept = docs.join(settle(gone), docs[key] == F.col("_gone"), "left_anti")
-    return kept
+    gone = near_duplicates(docs, key).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("gone")).distinct()
+    return boxed(docs, F.col(key).cast("long").alias("gone")).join(settle(gone), "gone", "left_anti").select("row.*")
 
 
 ship(__name__)

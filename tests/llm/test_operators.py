@@ -158,6 +158,32 @@ def test_components(spark):
     assert got == {x: want[x] for x in {y for l in links if l[0] != l[1] for y in l}}
 
 
+def test_components_of_a_path_take_logarithmic_steps(spark, monkeypatch):
+    from cairn.llm import components as module
+
+    steps, settle = [], module.settle
+    monkeypatch.setattr(module, "settle", lambda df: steps.append(1) or settle(df))
+    path = spark.range(10_000).selectExpr("id AS a", "id + 1 AS b")
+    got = components(path).selectExpr("count(*)", "max(component)").first()
+    assert tuple(got) == (10_001, 0) and len(steps) <= 40
+
+
+CLASHES = ["row", "k", "h", "line", "c", "t", "n", "p", "s", "removed", "gone", "bad", "mk", "mh", "spans", "cut", "_bad", "_gone", "_k", "_h", "_spans", "_removed", "shard", "slot", "size", "id", "grp", "key", "word"]
+
+
+def test_columns_of_clashing_names_are_kept(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    wide = rows.select("*", *[F.lit(777).alias(x) for x in CLASHES])
+    for stage in (quality_rules.keep_clean, line_dedup.without_repeats, simhash.keep_first, secrets.redact, lambda d: line_dedup.without_similar(d, d)):
+        out = stage(wide)
+        assert out.columns == wide.columns
+        assert out.count() == stage(rows).count() and all(r[x] == 777 for r in out.select(*CLASHES).collect() for x in CLASHES)
+    sharding.write_shards(wide, str(tmp_path / "shards"), 3)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 60 and {r[0] for r in back.select("row.size").collect()} == {777}
+    assert sorted(map(tuple, back.select("row.doc_id", "shard", "slot").collect())) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.byte_shards(rows, 3).collect())
+
+
 def plain_print(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
@@ -244,10 +270,42 @@ def test_long_lengths_have_least_padding(spark):
     assert {r["bucket_len"] for r in rows} == {6006, 20_021} and sum(r["padding"] for r in rows) == 1006 + 1005 + 1003 + 11
 
 
+def line_sets(t):
+    for i, x in enumerate((t or "").split("\n")):
+        w = re.findall(r"[^\x20\x09-\x0D]+", x)
+        if w:
+            yield i, {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+
+def removed_lines(rows):
+    """Brute force: rows of (key, text), distinct; a null key sorts first, texts of one key by their first line's place."""
+    out, before = {}, []
+    for key, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        gone = out.setdefault((key, t), [])
+        for i, s in line_sets(t):
+            if any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in before):
+                gone.append(i)
+            before.append(s)
+    return out
+
+
 @pytest.mark.parametrize("which", ["odd", "none"])
 def test_line_dedup_odd(request, which):
     df = request.getfixturevalue(which)
-    assert line_dedup.report(df).count() == df.count() and line_dedup.without_repeats(df).count() <= df.count()
+    want = removed_lines({(r["doc_id"], r["text"]) for r in df.collect()})
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["removed_lines"]) for r in line_dedup.report(df).collect()), key=str)
+    assert got == sorted(((k, (t or "").count("\n") + 1, len(want[k, t]), ",".join(map(str, want[k, t]))) for k, t in rows), key=str)
+    assert line_dedup.without_repeats(df).count() == sum(not want[k, t] or len(want[k, t]) < len(list(line_sets(t))) for k, t in rows)
+
+
+def test_passages_and_short_lines(spark):
+    """A passage in otherwise different lines removes none of them; short lines go by their whole words."""
+    rnd = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = [passage + " " + " ".join(f"u{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(60)] + ["home page", "home  page ", "home", "page home", "a b c d", "a b c d", "x x x x x x", "x x x x x"]
+    got = {r["doc_id"] for r in line_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert got == {k for (k, _), gone in removed_lines(set(enumerate(texts))).items() if gone} == {61, 65, 67}
 
 
 def test_line_dedup(spark, sf):
@@ -267,8 +325,7 @@ def test_line_dedup_similarity(spark):
         for at in rnd.sample(range(44), rnd.randint(0, 3)):
             x[at] = rnd.choice(words)
         lines.append(" ".join(x))
-    sets = [{" ".join(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in lines]
-    want = {i for i in range(120) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 for j in range(i))}
+    want = {k for (k, _), gone in removed_lines(set(enumerate(lines))).items() if gone}
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert {r["doc_id"] for r in line_dedup.report(df).where("n_removed > 0").collect()} == want
 
@@ -282,17 +339,79 @@ def test_brown(request, which):
     c, docs_ = Counter(x for w in train for x in w), len(train)
     n, v = sum(c.values()) + docs_, len(c) + (docs_ > 0)
     base = lambda w: sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((docs_ + 1) / (n + v + 1))
-    got = brown.score(df, known=500, clustered=200, core=100, classes=8, shapes=4).collect()
+    got = brown.score(df, known=500, core=100, classes=8, shapes=4).collect()
     key = lambda t: (t[0], t[1], t[2], round(t[3], 6))
     assert sorted((r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == sorted(key((held(k), len(w) + 1, sum(x in c for x in w) + (docs_ > 0), base(w))) for k, w in rows)
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
 
 
 def test_brown_beats_the_base_on_held_out_texts(spark, docs):
-    got = brown.score(docs, known=5000, clustered=2048, core=512).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    got = brown.score(docs, known=5000, core=512).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
 
 
+def test_brown_score_is_the_model_counted_plainly(spark, docs):
+    """Every class taken as given, the probabilities are recomputed from plain counts."""
+    seen = {}
+    spoken = brown.cluster
+
+    def cluster(train, k, *rest):
+        seen["member"], n = spoken(train, k, *rest)
+        return seen["member"], n
+
+    rows = [(r["doc_id"], brown.words_of(r["text"] or "")) for r in docs.limit(80).collect()]
+    df = docs.where(F.col("doc_id").isin([k for k, _ in rows]))
+    brown.cluster = cluster
+    try:
+        got = {r["doc_id"]: r["score"] for r in brown.score(df, known=300, core=50, classes=6, shapes=3).collect()}
+    finally:
+        brown.cluster = spoken
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    train = [w for k, w in rows if not held(k)]
+    count = Counter(x for w in train for x in w)
+    least = next(n for n in sorted(set(count.values())) if sum(m >= n for m in count.values()) <= 300)
+    known = sorted((w for w in count if count[w] >= least), key=lambda w: (-count[w], w))
+    shape = lambda w: 6 + zlib.crc32(w[-2:]) % 3
+    cls = {w: int(c) if c >= 0 else shape(w) for w, c in zip(known, seen["member"])}
+    pairs = Counter()
+    for w in train:
+        c = [9, *(cls.get(x, 8) for x in w), 9]
+        pairs.update(zip(c, c[1:]))
+    m = np.array([[pairs[a, b] for b in range(10)] for a in range(10)], dtype=float)
+    p, end, start = m[:6, :6] + 0.5, m[:6, 9] + 0.5, m[9, :6] + 0.5
+    votes = {}
+    for w in train:
+        c = [9, *(cls.get(x, -1) for x in w), 9]
+        for i, x in enumerate(w, 1):
+            if x not in cls:
+                v = votes.setdefault(x, np.zeros(6))
+                if c[i + 1] in range(6):
+                    v += np.log(p[:, c[i + 1]] / (p.sum(1) + end))
+                elif c[i + 1] == 9:
+                    v += np.log(end / (p.sum(1) + end))
+                if c[i - 1] in range(6):
+                    v += np.log(p[c[i - 1]] / (p.sum(0) + start))
+                elif c[i - 1] == 9:
+                    v += np.log(start / (p.sum(0) + start))
+    for x, v in votes.items():
+        cls[x] = int(v.argmax()) if count[x] >= 2 and v.any() else shape(x)
+    of = lambda x: cls.get(x, shape(x))
+    pairs = Counter()
+    for w in train:
+        c = [9, *map(of, w), 9]
+        pairs.update(zip(c, c[1:]))
+    t = np.array([[pairs[a, b] for b in range(10)] for a in range(10)], dtype=float)
+    unigram = (t.sum(0) + 1) / (t.sum() + 10)
+    types = Counter(cls.values())
+    for k, w in rows:
+        c, total = [9, *map(of, w), 9], 0.0
+        for a, b in zip(c, c[1:]):
+            total += math.log10((t[a, b] + brown.KAPPA * unigram[b]) / (t[a].sum() + brown.KAPPA))
+        for x in w:
+            total += math.log10((count[x] + brown.ALPHA) / (t[:, of(x)].sum() + brown.ALPHA * (types[of(x)] + 1)))
+        assert abs(total - got[k]) < 1e-6 * max(1, abs(total))
+
+
 def test_exchange_finds_the_classes():
     rnd = np.random.default_rng(5)
     m = np.zeros((20, 20), dtype=np.int64)
@@ -310,7 +429,7 @@ def test_classifier(spark, odd, none):
     machine = factorisation.train(docs, labels)
     got = {r["doc_id"]: r for r in factorisation.classify(docs, machine).collect()}
     said = {r["doc_id"]: r["quality"] for r in labels.collect()}
-    right = [(r["score"] >= 0.5) == said[k] for k, r in got.items() if r["held_out"] and k in said]
+    right = [(r["score"] >= 0.3) == said[k] for k, r in got.items() if r["held_out"] and k in said]
     assert len(right) >= 50 and sum(right) >= 0.9 * len(right)
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3) for k, r in got.items())
     assert factorisation.classify(odd, machine).where("score between 0 and 1").count() == odd.count() and factorisation.classify(none, machine).count() == 0
