@@ -56,16 +56,20 @@ def _let(value, use):
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _tokens(line):
-    """The distinct tokens of a line, in hash order."""
-    words = F.array_remove(F.split(line, " "), "")
+def _with_tokens(rows: DataFrame, line, *keep) -> DataFrame:
+    """`keep` and s, the distinct tokens of a line in hash order."""
 
     def shingles(h):
-        each = F.transform(F.sequence(F.lit(0), F.size(h) - WIDTH), lambda i: F.xxhash64(*[h[i + j] for j in range(WIDTH)]))
-        none = F.array().cast("array<bigint>")
-        return F.when(F.size(h) >= WIDTH, F.sort_array(F.array_distinct(each))).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(none)
+        each = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, WIDTH)]))  # the last four reach beyond the line
+        return F.struct(F.size(h).alias("n"), F.xxhash64(h).alias("whole"), each.alias("each"))
 
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), shingles)
+    words = F.array_remove(F.split(line, " "), "")
+    # Lambdas are interpreted. What stands in the second step, which the optimiser keeps apart, is generated code on plain longs.
+    hashed = rows.select(*keep, _let(F.transform(words, lambda w: F.xxhash64(w)), shingles).alias("_z"))
+    n = F.col("_z.n")
+    long = F.sort_array(F.array_distinct(F.slice("_z.each", F.lit(1), n - WIDTH + 1)))
+    s = F.when(n >= WIDTH, long).when(n > 0, F.array("_z.whole")).otherwise(F.array().cast("array<bigint>"))
+    return hashed.select(*[c for c in hashed.columns if c != "_z"], s.alias("s"))
 
 
 def _plain(text):
@@ -90,7 +94,7 @@ def _lines(docs: DataFrame, key: str) -> DataFrame:
     split = F.split(_plain(text_of()), "\n")
     texts = docs.select(*_place(docs, key), F.col(key).isNull().alias("no_key"), F.size(split).cast("long").alias("n_lines"), split.alias("_all"))
     rows = texts.select("k", "h", "no_key", "n_lines", F.posexplode_outer("_all").alias("line", "_text"))  # outer: no filter that splits again
-    sets = rows.select(*PLACE, "n_lines", "no_key", _tokens(F.col("_text")).alias("s"))  # no filter here, which the optimiser would compute the tokens twice for
+    sets = _with_tokens(rows, F.col("_text"), *PLACE, "n_lines", "no_key")  # no filter here, which the optimiser would compute the tokens twice for
     n = F.size("s")
     q = F.least(n, (n - _needed(n) + F.floor(n / 20) + 1).cast("int"))
     head = F.slice("s", F.lit(1), F.when(n < LEAST, 0).otherwise(q))
@@ -119,7 +123,7 @@ def _sets(docs: DataFrame, key: str, lines: DataFrame, first: DataFrame) -> Data
     texts = rows.join(F.broadcast(wanted) if first.count() <= FEW_LINES else wanted, ["k", "h"])
     chosen = _let(F.split(_plain(F.col("text")), "\n"), lambda x: F.transform("want", lambda w: F.struct(w["line"].alias("line"), w["c"].alias("c"), F.get(x, w["line"]).alias("t"))))
     each = texts.select("k", "h", F.explode_outer(chosen).alias("w"))
-    return settle(each.select("w.c", F.struct("k", "h", "w.line").alias("p"), _tokens(F.col("w.t")).alias("s")))
+    return settle(_with_tokens(each, F.col("w.t"), "w.c", F.struct("k", "h", "w.line").alias("p")))
 
 
 def _parity(part: int):
