@@ -459,15 +459,18 @@ def score(docs: DataFrame, key: str = "doc_id", known: int = KNOWN, core: int =
     groups = max(1, -(-tokens.where(~F.col("held_out")).count() // GROUP))
     seen = tokens.where(~F.col("held_out") & F.col("word").isNotNull()).select("word", "left", "right", F.pmod(F.xxhash64("word"), F.lit(groups)).alias("g"))
     rare = settle(seen.groupBy("g").applyInPandas(_classes_of_rare(*near, classes, shapes), "word binary, n long, cls int"))
+    free_shuffles()
     shape = (F.lit(classes) + F.crc32(F.expr("substring(word, -2, 2)")) % shapes).cast("int")
     lists = tokens.select("_row", "j", "word").join(rare, "word", "left").select("_row", F.struct("j", F.coalesce("cls", shape).alias("cls"), F.coalesce("n", F.lit(0)).cast("long").alias("n")).alias("x"))
-    lists = lists.groupBy("_row").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    lists = settle(lists.groupBy("_row").agg(F.array_sort(F.collect_list("x")).alias("x")))
+    release(tokens)
+    free_shuffles()
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     coded2 = settle(coded.drop("rare").join(lists, "_row", "left").select("key", "held_out", "ids", F.coalesce("x.cls", empty("int")).alias("rare_cls"), F.coalesce("x.n", empty("long")).alias("rare_n")))
     types = np.bincount(cls, minlength=states).astype(np.float64) if k else np.zeros(states)
     for c, m in rare.groupBy("cls").agg(F.count(F.lit(1))).collect():  # one row for each class
         types[c] += m
-    release(tokens, rare, coded)
+    release(lists, rare, coded)
     free_shuffles()
 
     t = _collected(coded2.where(~F.col("held_out")).select("ids", "rare_cls"), table, states)
