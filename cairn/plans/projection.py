@@ -120,7 +120,7 @@ FROM {lineitem} WHERE (l_linenumber + l_suppkey % 4 + l_partkey % 4) % 6 <> 0 GR
 SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber % 5 + 1 AS volume_id, concat('dest', cast(l_suppkey % 4 as string)) AS destination,
        l_partkey % 4 + 1 AS origin_node_id, l_orderkey % 60 AS origin_run_id, 1695000000000000000 + l_orderkey * 1000000000 AS at_ns,
        CASE l_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'peer-blake3' ELSE 'presence+size' END AS verify_method,
-       CASE WHEN l_suppkey % 3 = 0 THEN 2 ELSE NULL END AS source_node_id FROM {lineitem} WHERE l_orderkey % 50 = 0""",
+       CASE WHEN l_suppkey % 3 = 0 THEN 2 ELSE NULL END AS source_node_id FROM {lineitem}""",
         "push_freshness": """
 SELECT volume_id, destination, origin_node_id, origin_run_id - 5 AS origin_run_id FROM {vectors} WHERE origin_node_id <> 3""",
         "peer_sync_state": """
