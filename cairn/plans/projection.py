@@ -117,7 +117,7 @@ SELECT l_linenumber % 5 + 1 AS volume_id, concat('dest', cast(l_suppkey % 4 as s
        CASE WHEN (l_linenumber % 5 + l_suppkey % 4) % 4 = 0 THEN NULL ELSE 1694000000000000000 + max(l_orderkey) * 1000000000 END AS verified_at_ns
 FROM {lineitem} WHERE (l_linenumber + l_suppkey % 4 + l_partkey % 4) % 6 <> 0 GROUP BY l_linenumber % 5, l_suppkey % 4, l_partkey % 4""",
         "vectors_history": """
-SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber % 5 + 1 AS volume_id, concat('dest', cast(l_suppkey % 4 as string)) AS destination,
+SELECT (l_orderkey * 10 + l_linenumber) * 10 + l_partkey % 3 * 3 + l_suppkey % 3 AS id, l_linenumber % 5 + 1 AS volume_id, concat('dest', cast(l_suppkey % 4 as string)) AS destination,
        l_partkey % 4 + 1 AS origin_node_id, l_orderkey % 60 AS origin_run_id, 1695000000000000000 + l_orderkey * 1000000000 AS at_ns,
        CASE l_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'peer-blake3' ELSE 'presence+size' END AS verify_method,
        CASE WHEN l_suppkey % 3 = 0 THEN 2 ELSE NULL END AS source_node_id FROM {lineitem}""",
