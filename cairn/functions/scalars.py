@@ -140,7 +140,7 @@ def marker_valid(text, expected):
 
 def version_at_least(major, minor, patch, least: tuple[int, int, int]):
     """F30"""
-    return F.struct(major, minor, patch) >= F.struct(*[F.lit(x) for x in least])
+    return F.struct(*[x.cast("long") for x in (major, minor, patch)]) >= F.struct(*[F.lit(x).cast("long") for x in least])
 
 
 def apple_double(listing):

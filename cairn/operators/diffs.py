@@ -6,7 +6,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -198,15 +198,23 @@ def _orbits() -> dict[str, str]:
     return {x: min(g) for g in groups.values() if len(g) > 1 for x in g}
 
 
+def _folded(text: str, table: dict[str, str]) -> str:
+    return "".join(table.get(x, x) for x in unicodedata.normalize("NFC", text))
+
+
 def fold_name(text: str) -> str:
     """Canonical composition, then every letter as the least of its case orbit."""
+    return _folded(text, _orbits())
+
+
+def fold_key(path) -> Column:
+    """`fold_name` of a column; the table of orbits travels with the function, for a cached one would be looked up in a package that executors need not have."""
     table = _orbits()
-    return "".join(table.get(x, x) for x in unicodedata.normalize("NFC", text))
 
+    def fold(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: None if x is None else _folded(x, table))
 
-@F.pandas_udf(StringType())
-def fold_key(path: pd.Series) -> pd.Series:
-    return path.map(lambda x: None if x is None else fold_name(x))
+    return F.pandas_udf(fold, StringType())(path)
 
 
 def fold_members(planned: DataFrame, live: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ oracle is written against the same projection in DuckDB SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ ORACLES: dict = {}
 NOW = 1705300000000000000
 DAY = 86400 * 10**9
 HOUR = DAY // 24
+#: After every run of the driver's events.
+LATER = NOW + 400 * DAY
 
 
 def q(name: str, run: Callable[[Catalog], DataFrame], sql: str | None = None) -> None:
@@ -40,6 +43,11 @@ def q(name: str, run: Callable[[Catalog], DataFrame], sql: str | None = None) ->
         ORACLES[name] = duck(sql)
 
 
+def _least(df: DataFrame, column: str):
+    """An argument that hits: the least value of a column."""
+    return df.agg(F.min(column)).first()[0]
+
+
 # Lookups and filters
 
 q("p1_live_at", lambda c: k.live_at(c, 1, "en/src0/f5.txt").select("id", "path", "blake3", "status"), "SELECT id, path, blake3, status FROM live_rows WHERE volume_id = 1 AND path = 'en/src0/f5.txt'")
@@ -48,12 +56,12 @@ q("p2_by_absolute_path", lambda c: k.by_absolute_path(c, views.live_rows(c).join
 q("p3_relative", lambda c: c.volumes.crossJoin(F.broadcast(c.volumes.where("id <= 5").select(F.col("path").alias("base")))).select("id", "base", p.relative(F.col("base"), F.col("path")).alias("rel")),
   "SELECT v.id, b.path AS base, CASE WHEN v.path = b.path THEN '.' WHEN starts_with(v.path, concat(b.path, '/')) THEN substring(v.path, length(b.path) + 2) END AS rel FROM volumes v, volumes b WHERE b.id <= 5")
 q("p4_history", lambda c: k.history_at(c, 1, "en/src0/f5.txt").select("id", "status", "first_seen_run_id"), "SELECT id, status, first_seen_run_id FROM all_rows WHERE volume_id = 1 AND path = 'en/src0/f5.txt'")
-q("p5_by_digest", lambda c: k.by_digest(c, "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855").select("id", "volume", "path"),
-  "SELECT r.id, v.name AS volume, r.path FROM all_rows r JOIN volumes v ON v.id = r.volume_id WHERE r.blake3 = 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'")
+q("p5_by_digest", lambda c: k.by_digest(c, _least(c.contents, "blake3")).select("id", "volume", "path"),
+  "SELECT r.id, v.name AS volume, r.path FROM all_rows r JOIN volumes v ON v.id = r.volume_id WHERE r.blake3 = (SELECT min(blake3) FROM contents)")
 q("p6_dedup_sources", k.dedup_sources, f"SELECT volume_id, blake3, min(path) AS path FROM live_rows WHERE status = 'present' AND lower(path) NOT LIKE '{PREFIX}conflicts/%' AND lower(path) NOT LIKE '{PREFIX}history/%' AND lower(path) NOT LIKE '{PREFIX}staging/%' GROUP BY 1, 2")
 q("p7_missing", lambda c: k.missing(c).select("id", "volume", "path"), "SELECT r.id, v.name AS volume, r.path FROM live_rows r JOIN volumes v ON v.id = r.volume_id WHERE r.status = 'missing'")
 q("p8_present_paths", lambda c: k.present_paths(c, 2), "SELECT DISTINCT path FROM live_rows WHERE volume_id = 2 AND status = 'present'")
-q("p9_in_folder", lambda c: k.present_in_folder(c, 30).select("id", "name"), "SELECT id, name FROM live_rows WHERE folder_id = 30 AND status = 'present'")
+q("p9_in_folder", lambda c: k.present_in_folder(c, _least(views.live_rows(c).where("status = 'present'"), "folder_id")).select("id", "name"), "SELECT id, name FROM live_rows WHERE folder_id = (SELECT min(folder_id) FROM live_rows WHERE status = 'present') AND status = 'present'")
 q("p10_by_origin", lambda c: k.present_by_origin(c, None, 3).select("id", "path"), "SELECT id, path FROM live_rows WHERE status = 'present' AND volume_id = 3 AND origin_node_id IS NULL")
 q("p11_present_content", lambda c: k.present_content(c, 2).select("id", "path", "blake3"), "SELECT id, path, blake3 FROM present_rows WHERE volume_id = 2")
 q("p12_path_delta", lambda c: k.path_delta(c, 1, 20).select("path", "content_id", "status", "size_bytes"),
@@ -81,7 +89,7 @@ q("p32_peer_state", lambda c: k.at_key(c.peer_sync_state, volume_id=1, peer_node
 q("p33_peer_history", lambda c: k.sorted_table(k.at_key(c.peer_sync_history, volume_id=1, peer_node_id=3), "id"), "SELECT * FROM peer_sync_history WHERE volume_id = 1 AND peer_node_id = 3")
 q("p34_hook_runs", lambda c: k.hook_runs(c, 1, False, 15).select("id", "trigger", "status"), "SELECT id, \"trigger\", status FROM hook_runs WHERE volume_id = 1 ORDER BY id LIMIT 15")
 q("p35_run_audit", lambda c: k.sorted_table(k.at_key(c.runs_audit, run_id=17), "id"), "SELECT * FROM runs_audit WHERE run_id = 17")
-q("p36_remote_object", lambda c: k.at_key(c.remote_objects, content_id=4, destination="dest1").select("content_id", "checksum"), "SELECT content_id, checksum FROM remote_objects WHERE content_id = 4 AND destination = 'dest1'")
+q("p36_remote_object", lambda c: k.at_key(c.remote_objects, content_id=_least(c.remote_objects.where("destination = 'dest1'"), "content_id"), destination="dest1").select("content_id", "checksum"), "SELECT content_id, checksum FROM remote_objects WHERE content_id = (SELECT min(content_id) FROM remote_objects WHERE destination = 'dest1') AND destination = 'dest1'")
 q("p37_has_object", lambda c: k.exists_in(c.contents.select(F.col("id").alias("content_id")), c.remote_objects.where("destination = 'dest1'"), ["content_id"]), "SELECT id AS content_id FROM contents WHERE id IN (SELECT content_id FROM remote_objects WHERE destination = 'dest1')")
 q("p38_remote_pack", lambda c: k.at_key(c.remote_packs, pack_id=5), "SELECT * FROM remote_packs WHERE pack_id = 5")
 q("p39_pack_member", lambda c: k.at_key(c.pack_members, content_id=11), "SELECT * FROM pack_members WHERE content_id = 11")
@@ -99,11 +107,11 @@ q("p50_volume", lambda c: k.by_id(c.volumes, 101), "SELECT * FROM volumes WHERE
 q("p51_config_drift", k.config_drift, "SELECT * FROM config_drift WHERE id = 1")
 q("p52_query_by_path", lambda c: k.query(c, "en/src0/f5.txt", True).select("id", "volume_id"), "SELECT id, volume_id FROM all_rows WHERE path = 'en/src0/f5.txt'")
 q("p53_origin_filter", lambda c: views.live_rows(c).where(k.origin_matches(True, 2)).select("id"), "SELECT id FROM live_rows WHERE origin_node_id = 2")
-q("p54_digest_from", lambda c: k.by_digest_from(c, "0" * 64, True, None).select("id"), f"SELECT id FROM all_rows WHERE blake3 = '{'0' * 64}' AND origin_node_id IS NULL")
-q("p55_path_query", lambda c: k.by_path_query(c, 1, "en/src0/f5.txt", True, True, None).select("id"), "SELECT id FROM all_rows WHERE volume_id = 1 AND path = 'en/src0/f5.txt' AND origin_node_id IS NULL")
+q("p54_digest_from", lambda c: k.by_digest_from(c, _least(c.contents.where("origin_node_id is null"), "blake3"), True, None).select("id"), f"SELECT id FROM all_rows WHERE blake3 = (SELECT min(blake3) FROM contents WHERE origin_node_id IS NULL) AND origin_node_id IS NULL")
+q("p55_path_query", lambda c: k.by_path_query(c, 1, _least(views.all_rows(c).where("volume_id = 1 and origin_node_id is null"), "path"), True, True, None).select("id"), "SELECT id FROM all_rows WHERE volume_id = 1 AND path = (SELECT min(path) FROM all_rows WHERE volume_id = 1 AND origin_node_id IS NULL) AND origin_node_id IS NULL")
 q("p56_origin_listing", lambda c: k.present_by_origin(c, 3).select("id", "volume_id", "path"), "SELECT id, volume_id, path FROM live_rows WHERE status = 'present' AND origin_node_id = 3")
 q("p57_is_hash", lambda c: c.contents.select("id", p.is_hash(F.col("blake3")).alias("hash")).union(c.nodes.select("id", p.is_hash(F.col("name")))), "SELECT id, regexp_full_match(blake3, '[0-9a-fA-F]{64}') AS hash FROM contents UNION ALL SELECT id, regexp_full_match(name, '[0-9a-fA-F]{64}') FROM nodes")
-q("p58_search_digest", lambda c: k.query(c, "A" * 64).select("id"), f"SELECT id FROM all_rows WHERE blake3 = '{'a' * 64}'")
+q("p58_search_digest", lambda c: k.query(c, _least(c.contents, "blake3").upper()).select("id"), f"SELECT id FROM all_rows WHERE blake3 = (SELECT min(blake3) FROM contents)")
 q("p59_superseded", lambda c: k.split_by_status(views.all_rows(c))[1].select("id", "path"), "SELECT id, path FROM all_rows WHERE status = 'superseded'")
 q("p60_needs_attention", lambda c: c.runs.where(k.needs_attention()).select("id", "status"), "SELECT id, status FROM runs WHERE status IN ('failed', 'refused', 'aborted', 'partial')")
 _CONFLICTS = f"""(SELECT coalesce(x.run_id, y.run_id) AS run_id, greatest(coalesce(x.raised, 0), coalesce(y.copies, 0)) AS conflicts
@@ -212,7 +220,7 @@ f AS (SELECT band, i, size, size AS total, 1 AS n, 0 AS batch FROM r WHERE i = 1
 CASE WHEN f.n = 8 OR f.total + r.size > 900000 THEN f.batch + 1 ELSE f.batch END FROM f JOIN r ON r.band = f.band AND r.i = f.i + 1) SELECT band, CAST(batch AS BIGINT) AS batch, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY 1, 2""")
 q("a26_planned_uploads", a.planned_uploads, "SELECT volume_id, content_id, min(path) AS path FROM present_rows GROUP BY 1, 2")
 q("a27_paths_by_content", a.paths_by_content, "SELECT content_id, string_agg(path, ',' ORDER BY path) AS paths FROM present_rows GROUP BY 1")
-q("a29_size_conflicts", lambda c: a.size_conflicts(c.peer_entries), "SELECT lower(blake3) AS blake3, count(DISTINCT size_bytes) AS sizes FROM peer_entries GROUP BY 1 HAVING count(DISTINCT size_bytes) > 1")
+q("a29_size_conflicts", lambda c: a.size_conflicts(c.peer_entries.select(F.substring(F.when(F.col("size_bytes") % 2 == 0, F.upper("blake3")).otherwise(F.col("blake3")), 1, 2).alias("blake3"), "size_bytes")), "SELECT substring(blake3, 1, 2) AS blake3, count(DISTINCT size_bytes) AS sizes FROM peer_entries GROUP BY 1 HAVING count(DISTINCT size_bytes) > 1")
 q("a31_first_by_digest", a.first_by_digest, "SELECT blake3, arg_min(id, first_seen_run_id * 100000000 + id) AS id FROM all_rows GROUP BY 1")
 q("a33_kind_counts", lambda c: a.kind_counts(c.runs), "SELECT kind, count(*) AS n FROM runs GROUP BY 1")
 _LOG = lambda c: c.events.select((F.col("user_id") % 50).alias("run_id"), F.col("event_id").alias("seq"), F.floor(F.col("value")).cast("long").alias("bytes"), (F.col("event_id") % 7).alias("transfers"), (F.col("event_id") % 11).alias("errors"), (F.col("event_id") % 97 == 0).alias("fatal"))
@@ -491,12 +499,14 @@ q("x14_negotiated", lambda c: c.nodes.select("id", s.negotiated(F.col("id")).ali
 # Schedules and progress
 
 _DONE = f"(SELECT volume_id, destination, coalesce(ended_at_ns, started_at_ns) AS at FROM {_FINISHED} WHERE rn = 1 AND kind = 'sync')"
-_DUE = f"(SELECT s.volume_id, s.target FROM sync_to s LEFT JOIN {_DONE} r ON r.volume_id = s.volume_id AND r.destination = s.target WHERE r.at IS NULL OR {NOW} - r.at >= {HOUR})"
+_DUE = f"(SELECT s.volume_id, s.target FROM sync_to s LEFT JOIN {_DONE} r ON r.volume_id = s.volume_id AND r.destination = s.target WHERE r.at IS NULL OR {LATER} - r.at >= {HOUR})"
 _FLIGHT = "(SELECT DISTINCT volume_id, destination AS target FROM runs WHERE kind = 'sync' AND status = 'running' AND volume_id IS NOT NULL)"
-_GO = f"(SELECT * FROM {_DUE} WHERE (volume_id, target) NOT IN (SELECT volume_id, target FROM {_FLIGHT}))"
-q("t2_due_targets", lambda c: t.due_targets(c, HOUR, NOW), f"SELECT * FROM {_DUE}")
-q("t3_due_volumes", lambda c: t.due_volumes(c, HOUR, NOW), f"SELECT f.volume_id FROM (SELECT DISTINCT volume_id FROM files) f LEFT JOIN (SELECT volume_id, coalesce(ended_at_ns, started_at_ns) AS at FROM {_FINISHED} WHERE rn = 1 AND kind = 'index' AND destination IS NULL) r USING (volume_id) WHERE r.at IS NULL OR {NOW} - r.at >= {HOUR}")
-q("t6_dispatchable", lambda c: t.dispatchable(c, HOUR, NOW), f"SELECT * FROM {_GO}")
+# A catalog in which no run of volume 2 is under way.
+_QUIET = lambda c: SimpleNamespace(files=c.files, sync_to=c.sync_to, runs=c.runs.where("status <> 'running' or volume_id <> 2"))
+_GO = f"(SELECT * FROM {_DUE} WHERE (volume_id, target) NOT IN (SELECT volume_id, target FROM {_FLIGHT} WHERE volume_id <> 2))"
+q("t2_due_targets", lambda c: t.due_targets(c, HOUR, LATER), f"SELECT * FROM {_DUE}")
+q("t3_due_volumes", lambda c: t.due_volumes(c, HOUR, LATER), f"SELECT f.volume_id FROM (SELECT DISTINCT volume_id FROM files) f LEFT JOIN (SELECT volume_id, coalesce(ended_at_ns, started_at_ns) AS at FROM {_FINISHED} WHERE rn = 1 AND kind = 'index' AND destination IS NULL) r USING (volume_id) WHERE r.at IS NULL OR {LATER} - r.at >= {HOUR}")
+q("t6_dispatchable", lambda c: t.dispatchable(_QUIET(c), HOUR, LATER), f"SELECT * FROM {_GO}")
 q("t8_due_pulls", lambda c: t.due_pulls(c, HOUR, NOW), f"SELECT volume_id, peer_node_id FROM peer_sync_state WHERE {NOW} - last_synced_at_ns >= {HOUR} AND volume_id IN (SELECT volume_id FROM {_ACCEPTED})")
 q("t9_queued", lambda c: t.queued(c.runs.where("kind = 'sync' and volume_id is not null").select(F.col("destination").alias("target"), "volume_id", F.col("id").alias("seq")), t.in_flight(c).select("target")), f"SELECT target, volume_id, row_number() OVER (PARTITION BY target ORDER BY seq) AS place, row_number() OVER (PARTITION BY target ORDER BY seq) = 1 AND target NOT IN (SELECT target FROM {_FLIGHT}) AS starts FROM (SELECT destination AS target, volume_id, min(id) AS seq FROM runs WHERE kind = 'sync' AND volume_id IS NOT NULL GROUP BY 1, 2)")
 q("t13_latest_values", lambda c: t.latest_values(_LOG(c)), "SELECT user_id % 50 AS run_id, max(event_id) AS seq, arg_max(CAST(floor(value) AS BIGINT), event_id) AS bytes FROM events GROUP BY 1")
@@ -507,6 +517,6 @@ q("t17_stalls", lambda c: t.stalls(c.events.select((F.col("user_id") % 50).alias
 q("t11_throttled", lambda c: t.throttled(_LOG(c).select("run_id", "seq", F.col("seq").alias("at_ns"), "bytes"), 5, 1 << 60).groupBy("run_id").agg(F.count(F.lit(1)).alias("events")),
   "SELECT run_id, 1 + CAST(ceil((n - 1) / 5.0) AS BIGINT) AS events FROM (SELECT user_id % 50 AS run_id, count(*) AS n FROM events GROUP BY 1)")
 q("t21_drift_latch", lambda c: t.drift_latch(c.nation.select(F.col("n_nationkey").alias("seq"), F.when(F.col("n_nationkey").between(5, 9), "b").otherwise("a").alias("digest"))), "SELECT n_nationkey AS seq, CASE WHEN n_nationkey = 5 THEN 'raise' ELSE 'clear' END AS action FROM nation WHERE n_nationkey IN (5, 10)")
-q("t22_scan_tick", t.scan_tick, "SELECT DISTINCT volume_id FROM files WHERE volume_id NOT IN (SELECT volume_id FROM runs WHERE status = 'running' AND volume_id IS NOT NULL)")
-q("t24_tick", lambda c: t.tick(c, HOUR, HOUR, NOW), f"SELECT volume_id, 'sync' AS action, target FROM {_GO} UNION ALL SELECT DISTINCT volume_id, 'pre-sync-index', NULL FROM {_GO} UNION ALL SELECT f.volume_id, 'index', NULL FROM (SELECT DISTINCT volume_id FROM files) f LEFT JOIN (SELECT volume_id, coalesce(ended_at_ns, started_at_ns) AS at FROM {_FINISHED} WHERE rn = 1 AND kind = 'index' AND destination IS NULL) r USING (volume_id) WHERE (r.at IS NULL OR {NOW} - r.at >= {HOUR}) AND f.volume_id NOT IN (SELECT volume_id FROM {_GO})")
+q("t22_scan_tick", lambda c: t.scan_tick(_QUIET(c)), "SELECT DISTINCT volume_id FROM files WHERE volume_id NOT IN (SELECT volume_id FROM runs WHERE status = 'running' AND volume_id <> 2)")
+q("t24_tick", lambda c: t.tick(_QUIET(c), HOUR, HOUR, LATER), f"SELECT volume_id, 'sync' AS action, target FROM {_GO} UNION ALL SELECT DISTINCT volume_id, 'pre-sync-index', NULL FROM {_GO} UNION ALL SELECT f.volume_id, 'index', NULL FROM (SELECT DISTINCT volume_id FROM files) f LEFT JOIN (SELECT volume_id, coalesce(ended_at_ns, started_at_ns) AS at FROM {_FINISHED} WHERE rn = 1 AND kind = 'index' AND destination IS NULL) r USING (volume_id) WHERE (r.at IS NULL OR {LATER} - r.at >= {HOUR}) AND f.volume_id NOT IN (SELECT volume_id FROM {_GO})")
 q("t25_in_flight", lambda c: t.in_flight(c).where("volume_id is not null"), f"SELECT * FROM {_FLIGHT}")

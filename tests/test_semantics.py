@@ -162,3 +162,18 @@ def test_hooks_and_lock(tmp_path):
     with hooks.exclusive(str(tmp_path / "lock")), pytest.raises(FileExistsError):
         with hooks.exclusive(str(tmp_path / "lock")):
             pass
+
+
+def test_shipped_functions_need_no_copy_of_the_package(tmp_path):
+    """Executors unpickle the folding function where this package cannot be imported."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    table, folded = diffs._orbits(), diffs._folded
+    work = tmp_path / "fold.pickle"
+    work.write_bytes(cloudpickle.dumps(lambda x: folded(x, table)))
+    code = "import pickle, sys; print(pickle.load(open(sys.argv[1], 'rb'))('Stra\u00dfe/\u0130x'))"
+    got = subprocess.run([sys.executable, "-c", code, str(work)], cwd=tmp_path, capture_output=True, text=True, timeout=60, env={"PATH": "/usr/bin:/bin", "PYTHONIOENCODING": "utf-8"})
+    assert got.stdout.strip() == diffs.fold_name("Stra\u00dfe/\u0130x"), got.stderr
