@@ -225,10 +225,49 @@ def mark_lost(paths: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def append_rows(state: DataFrame, new: DataFrame) -> DataFrame:
-    """Appended rows, missing columns null."""
+    """Appended rows, missing columns null."""
     return state.unionByName(new, allowMissingColumns=True)
 
 
+def _refused(new: DataFrame, bad, what: str) -> DataFrame:
+    """`new`, or an error when a bad row's columns are read."""
+    kept = [F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(what)).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) for f in new.schema]
+    return new.select(*kept)
+
+
+def _first_time(new: DataFrame, state: DataFrame, on: list[str], what: str) -> DataFrame:
+    """`new`, or an error if a key is held already or comes twice."""
+    held = state.select(*on).distinct().withColumn("_held", F.lit(True))
+    rows = new.join(held, on, "left").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*on)))  # a key's rows: one, if nothing is wrong
+    return _refused(rows, F.col("_held") | (F.col("_n") > 1), what).select(*new.columns)
+
+
+def insert_objects(state: DataFrame, new: DataFrame) -> DataFrame:
+    """Objects of a named destination, algorithm and checksum both given and not empty or both null, each key once; else an error."""
+    algo, value = F.col("checksum_algo"), F.col("checksum")
+    unpaired = (algo.isNull() != value.isNull()) | F.coalesce((algo == "") | (value == ""), F.lit(False))
+    named = _refused(new, F.coalesce(F.col("destination") == "", F.lit(True)), "the destination is empty")
+    paired = _refused(named, unpaired, "checksum_algo and checksum go together and are not empty")
+    return append_rows(state, _first_time(paired, state, ["content_id", "destination"], "the object is recorded already"))
+
+
+def insert_packs(packs: DataFrame, members: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packs and their members out of one table, so that neither comes without the other; a content is packed once, else an error.
+
+    new: id, pack_key, size_bytes, members array<struct<content_id, offset_bytes, length_bytes>>.
+    """
+    each = new.select(F.col("id").alias("pack_id"), F.explode("members").alias("m")).select("pack_id", "m.*")
+    return append_rows(packs, new.drop("members")), append_rows(members, _first_time(each, members, ["content_id"], "the content is packed already"))
+
+
+def insert_hook_runs(state: DataFrame, new: DataFrame) -> DataFrame:
+    """Running hook runs: a `change` names the run that fired it, an `interval` none (0 counts as none); else an error."""
+    rows = new.withColumn("triggering_run_id", F.nullif(F.col("triggering_run_id"), F.lit(0))).withColumn("status", F.lit("running"))
+    known = F.coalesce(F.col("trigger").isin("change", "interval"), F.lit(False))
+    bad = ~known | ((F.col("trigger") == "change") != F.col("triggering_run_id").isNotNull())
+    return append_rows(state, _refused(rows, bad, "a change hook, and only it, names the run that fired it"))
+
+
 def record_verified(paths: DataFrame, seen: DataFrame, at_ns: int) -> DataFrame:
     """Compare and set: a stored copy's checksum is taken if none is recorded, or stamped if equal; seen: id, checksum."""
     rows = paths.join(seen.select("id", F.col("checksum").alias("_sum")), "id", "left")

@@ -156,3 +156,16 @@ q("m39_cleared_alarms", lambda c: m.clear_latches(c.destination_alarms, c.destin
 q("m71_rekeyed_contents", lambda c: m.rekey_by_content(c.peer_entries, c.contents).select("volume_id", "path", "content_id"), "SELECT e.volume_id, e.path, c.id AS content_id FROM peer_entries e JOIN contents c ON c.blake3 = e.blake3")
 q("m72_rekeyed_imports", lambda c: m.rekey_by_import(c.peer_entries, c.runs.where("kind = 'index' and volume_id is not null").groupBy("volume_id").agg(F.min("id").alias("id"))).select("volume_id", "path", "first_seen_run_id"),
   "SELECT volume_id, path, (SELECT min(id) FROM runs r WHERE r.kind = 'index' AND r.volume_id = e.volume_id) AS first_seen_run_id FROM peer_entries e WHERE volume_id IN (SELECT volume_id FROM runs WHERE kind = 'index')")
+
+# Checked inserts
+
+q("m24_objects", lambda c: m.insert_objects(c.remote_objects, c.contents.select((F.col("id") + 1_000_000_000).alias("content_id"), F.lit("dest1").alias("destination"), F.when(F.col("id") % 2 == 0, "md5").alias("checksum_algo"), F.when(F.col("id") % 2 == 0, F.substring("blake3", 1, 32)).alias("checksum"))).select("content_id", "destination", "checksum_algo", "checksum"),
+  "SELECT content_id, destination, checksum_algo, checksum FROM remote_objects UNION ALL SELECT id + 1000000000, 'dest1', CASE id % 2 WHEN 0 THEN 'md5' END, CASE id % 2 WHEN 0 THEN substring(blake3, 1, 32) END FROM contents")
+_NEW_PACKS = lambda c: c.orders.where("o_orderkey % 2 = 0").groupBy((F.col("o_custkey") + 1_000_000_000).alias("id")).agg(
+    F.concat(F.lit("new"), F.min("o_custkey")).alias("pack_key"), F.count(F.lit(1)).alias("size_bytes"), F.collect_list(F.struct(F.col("o_orderkey").alias("content_id"), F.lit(0).cast("long").alias("offset_bytes"), F.lit(1).cast("long").alias("length_bytes"))).alias("members"))
+q("m28_packs", lambda c: m.insert_packs(c.packs, c.pack_members, _NEW_PACKS(c))[0].select("id", "pack_key", "size_bytes"),
+  "SELECT id, pack_key, size_bytes FROM packs UNION ALL SELECT o_custkey + 1000000000, concat('new', o_custkey), count(*) FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey")
+q("m28_pack_members", lambda c: m.insert_packs(c.packs, c.pack_members, _NEW_PACKS(c))[1].select("content_id", "pack_id", "length_bytes"),
+  "SELECT content_id, pack_id, length_bytes FROM pack_members UNION ALL SELECT o_orderkey, o_custkey + 1000000000, 1 FROM orders WHERE o_orderkey % 2 = 0")
+q("m43_hook_runs", lambda c: m.insert_hook_runs(c.hook_runs, c.volumes.select((F.col("id") + 1_000_000_000).alias("id"), F.col("id").alias("volume_id"), F.when(F.col("id") % 2 == 0, "change").otherwise("interval").alias("trigger"), F.when(F.col("id") % 2 == 0, F.col("id") + 5).otherwise(0).alias("triggering_run_id"))).select("id", "volume_id", "trigger", "triggering_run_id", "status"),
+  "SELECT id, volume_id, trigger, CAST(NULL AS BIGINT) AS triggering_run_id, status FROM hook_runs UNION ALL SELECT id + 1000000000, id, CASE id % 2 WHEN 0 THEN 'change' ELSE 'interval' END, CASE id % 2 WHEN 0 THEN id + 5 END, 'running' FROM volumes")

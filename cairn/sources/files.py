@@ -11,23 +11,6 @@ MANIFEST = "path string, blake3 string, status string, size_bytes long, mtime_ns
 PLACEMENT = "blake3 string, pack string, offset long, length long"
 
 
-def tree(spark: SparkSession, root: str, with_digest: bool = True, marker: str = ".cairn-volume") -> DataFrame:
-    """The regular files below a root: path, size, time and digest; without digests no content is read.
-
-    Spark's file scan leaves out empty files and names that begin with a dot or an
-    underscore; these need a listing from elsewhere (`listing`).
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:") + "/")
-    full = F.regexp_replace(F.col("path"), "^[a-z0-9]+:(//)?", "")
-    cols = [F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")]
-    if with_digest:
-        cols.append(F.sha2("content", 256).alias("blake3"))
-    from_root = F.substring(full, F.length(base) + 1, F.length(full))
-    rows = raw.select(from_root.alias("path"), *cols)
-    return rows.where(F.col("path") != marker).withColumn("companion", F.col("path").rlike(r"(^|/)\._[^/]+$"))
-
-
 def manifests(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """S13, K1's reader: manifest lines with the run of their file; a digest that is not 64 hex digits fails."""
     rows = spark.read.schema(MANIFEST).json(paths).withColumn("run_id", F.regexp_extract(F.input_file_name(), r"run-([1-9][0-9]*)", 1).cast("long"))

@@ -1,5 +1,6 @@
 """Pinned semantics on small literal tables."""
 
+import hashlib
 import random
 from types import SimpleNamespace
 
@@ -10,7 +11,7 @@ from cairn.functions import paths as p
 from cairn.functions import scalars as s
 from cairn.operators import aggregates, diffs, lookups, mutations
 from cairn.operators import gate as g
-from cairn.sources import files, sinks
+from cairn.sources import files, sinks, trees
 from cairn.streaming import streams
 
 
@@ -128,8 +129,21 @@ def test_tree_source_and_catalog(spark, tmp_path):
     (tmp_path / "v/x").mkdir(parents=True)
     (tmp_path / "v/a.txt").write_text("hello")
     (tmp_path / "v/x/b").write_text("1")
-    got = {r["path"]: (r["size_bytes"], r["companion"]) for r in files.tree(spark, str(tmp_path / "v")).collect()}
-    assert got == {"a.txt": (5, False), "x/b": (1, False)}
+    (tmp_path / "v/.cairn-volume").write_text("{}")
+    (tmp_path / "v/x/.cairn-volume").write_text("{}")
+    (tmp_path / "v/x/._b").write_text("")
+    (tmp_path / "v/x/_big").write_bytes(b"7" * (trees.CHUNK + 1))
+    (tmp_path / "v/x/link").symlink_to(tmp_path / "v/a.txt")
+    (tmp_path / "v/empty").mkdir()
+    for root in (str(tmp_path / "v"), "file://" + str(tmp_path / "v") + "/"):
+        seen = trees.tree(spark, root).collect()
+        got = {r["path"]: (r["size_bytes"], r["companion"]) for r in seen}
+        assert got == {"a.txt": (5, False), "x/b": (1, False), "x/.cairn-volume": (2, False), "x/._b": (0, True), "x/_big": (trees.CHUNK + 1, False)}
+        for r in seen:
+            assert r["blake3"] == hashlib.sha256((tmp_path / "v" / r["path"]).read_bytes()).hexdigest() and r["error"] is None
+            assert r["mtime_ns"] == (tmp_path / "v" / r["path"]).stat().st_mtime_ns
+    assert {r["path"]: r["kind"] for r in trees.entries(spark, str(tmp_path / "v")).collect() if r["kind"] != "file"} == {"x": "dir", "empty": "dir", "x/link": "symlink"}
+    assert [r["error"] is not None for r in trees.tree(spark, str(tmp_path / "none")).collect()] == [True]
     lines = spark.createDataFrame([("a", "0" * 64, "present", 1, 2), ("b", "1" * 64, "missing", 1, 2)], files.MANIFEST)
     sinks.write_manifest(lines, str(tmp_path / "run-3"))
     back = files.replay(files.manifests(spark, str(tmp_path / "run-3")))
@@ -177,3 +191,25 @@ def test_shipped_functions_need_no_copy_of_the_package(tmp_path):
     code = "import pickle, sys; print(pickle.load(open(sys.argv[1], 'rb'))('Stra\u00dfe/\u0130x'))"
     got = subprocess.run([sys.executable, "-c", code, str(work)], cwd=tmp_path, capture_output=True, text=True, timeout=60, env={"PATH": "/usr/bin:/bin", "PYTHONIOENCODING": "utf-8"})
     assert got.stdout.strip() == diffs.fold_name("Stra\u00dfe/\u0130x"), got.stderr
+
+
+def test_inserts_refuse_what_does_not_fit(spark):
+    """Each check alone; what fits is appended."""
+    objects = spark.createDataFrame([(1, "d", "md5", "x")], "content_id long, destination string, checksum_algo string, checksum string")
+    one = lambda *r: mutations.insert_objects(objects, spark.createDataFrame(list(r), objects.schema)).collect()
+    assert len(one((2, "d", None, None), (1, "e", "md5", "y"))) == 3
+    for bad in [(2, "", None, None)], [(2, "d", "md5", None)], [(2, "d", None, "y")], [(2, "d", "", "y")], [(2, "d", "md5", "")], [(1, "d", None, None)], [(2, "d", None, None)] * 2:
+        with pytest.raises(Exception, match="destination is empty|go together|recorded already"):
+            one(*bad)
+    packs, members = spark.createDataFrame([(1, "a", 3)], "id long, pack_key string, size_bytes long"), spark.createDataFrame([(7, 1)], "content_id long, pack_id long")
+    new = lambda *ids: spark.createDataFrame([(2, "b", 4, [(i,) for i in ids])], "id long, pack_key string, size_bytes long, members array<struct<content_id: long>>")
+    assert [x.count() for x in mutations.insert_packs(packs, members, new(8, 9))] == [2, 3]
+    for ids in (7,), (8, 8):
+        with pytest.raises(Exception, match="packed already"):
+            mutations.insert_packs(packs, members, new(*ids))[1].collect()
+    runs = spark.createDataFrame([], "id long, volume_id long, trigger string, triggering_run_id long, status string")
+    hook = lambda trigger, run: [tuple(r) for r in mutations.insert_hook_runs(runs, spark.createDataFrame([(1, 2, trigger, run)], "id long, volume_id long, trigger string, triggering_run_id long")).collect()]
+    assert hook("change", 5) == [(1, 2, "change", 5, "running")] and hook("interval", 0) == [(1, 2, "interval", None, "running")]
+    for trigger, run in ("change", None), ("change", 0), ("interval", 5), ("other", None), (None, None):
+        with pytest.raises(Exception, match="a change hook"):
+            hook(trigger, run)
