@@ -8,8 +8,9 @@ one class, so exact copies are one row from step 2 on.
 1. One pass over the texts writes the class of every line and the first q of its tokens in
    hash order, q = n - ceil(0.8 n) + floor(n / 20) + 1. Two similar lines of n and m <= n tokens
    share floor(m / 20) + 1 of these at least, which is floor(n / 25) + 1 or more.
-2. These tokens are counted by classes (map-side combined). A line with fewer than
-   floor(n / 25) + 1 tokens that two classes hold is similar to no other and drops out.
+2. A semi-join finds those of these tokens that another class holds as well. A line with fewer than
+   floor(n / 25) + 1 of them is similar to no other and drops out. Of a class with more than
+   64 copies only the first place takes part, so no token has a long list of one class.
 3. Rarity: all tokens of the lines left are counted exactly. A line with fewer than
    ceil(0.8 n) tokens that another line holds drops out as well: in the order of rarity its
    whole prefix is its own. So a passage that many otherwise different lines share pairs
@@ -50,6 +51,10 @@ LEAST = 4
 PLACE = ["k", "h", "line"]
 #: Tables up to these counted rows (16 to 60 bytes each) are broadcast; larger ones are shuffled.
 FEW_LINES, FEW_PAIRS = 400_000, 200_000
+#: Classes with more copies than these are held against others by their first place only.
+COPIES = 64
+#: Tokens that one task of the join by tokens holds, 70 bytes each; a token of more lines than that stays in one task.
+TOKENS = 1_000_000
 
 
 def _let(value, use):
@@ -88,6 +93,11 @@ def _needed(n):
     return F.ceil(F.lit(SIMILAR) * n - F.lit(1e-9))
 
 
+def _head(n):
+    """Tokens of n that stand at the head."""
+    return F.when(n < LEAST, 0).otherwise(F.least(n, (n - _needed(n) + F.floor(n / 20) + 1).cast("int")))
+
+
 def _lines(docs: DataFrame, key: str) -> DataFrame:
     """(k, h, line, n_lines, no_key, c, c2, n, head): every line's class, size and first tokens in hash order."""
     # What is the document's is computed before the lines are; behind them it would be computed for each line.
@@ -96,21 +106,36 @@ def _lines(docs: DataFrame, key: str) -> DataFrame:
     rows = texts.select("k", "h", "no_key", "n_lines", F.posexplode_outer("_all").alias("line", "_text"))  # outer: no filter that splits again
     sets = _with_tokens(rows, F.col("_text"), *PLACE, "n_lines", "no_key")  # no filter here, which the optimiser would compute the tokens twice for
     n = F.size("s")
-    q = F.least(n, (n - _needed(n) + F.floor(n / 20) + 1).cast("int"))
-    head = F.slice("s", F.lit(1), F.when(n < LEAST, 0).otherwise(q))
+    head = F.slice("s", F.lit(1), _head(n))
     return sets.select(*PLACE, "n_lines", "no_key", F.xxhash64("s").alias("c"), F.xxhash64(F.lit(1), F.col("s")).alias("c2"), n.alias("n"), head.alias("head"))
 
 
-def _survivors(lines: DataFrame) -> DataFrame:
+def _copied(lines: DataFrame) -> DataFrame:
+    """(c, c2, _first, _n): the classes of more than one line, their first places and their lines."""
+    found = lines.groupBy("c", "c2").agg(F.min(F.struct(*PLACE)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return settle(found.where("_n > 1"))
+
+
+def _shared(lines: DataFrame, copied: DataFrame) -> DataFrame:
+    """(c, t): the tokens at the head that another class holds at its head; of a class of many lines only the first takes part."""
+    often = copied.where(F.col("_n") > COPIES).select("c", "c2", "_first")
+    long = lines.where(F.col("n") >= LEAST)
+    tokens = long.agg(F.sum(_head(F.col("n")))).first()[0] or 0
+    places = long.join(F.broadcast(often) if often.count() <= FEW_LINES else often, ["c", "c2"], "left")
+    places = places.where(F.col("_first").isNull() | (F.struct(*PLACE) == F.col("_first")))
+    # One exchange serves both sides. _at, which is never negative, keeps the optimiser from moving the join before it.
+    dealt = places.select("c", F.explode("head").alias("t")).repartition(tokens // TOKENS + 1, "t").withColumn("_at", F.spark_partition_id())
+    another = (F.col("a.t") == F.col("b.t")) & (F.col("a.c") != F.col("b.c")) & (F.col("a._at") >= 0) & (F.col("b._at") >= 0)
+    return dealt.alias("a").join(dealt.alias("b").hint("shuffle_hash"), another, "left_semi").select("c", "t").distinct()
+
+
+def _survivors(lines: DataFrame, copied: DataFrame) -> DataFrame:
     """(c, p): the classes with enough shared tokens at the head, and their first places."""
-    single = lines.where(F.col("n") >= LEAST).select("c", F.explode("head").alias("t"))
-    common = settle(single.groupBy("t").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("t"))
+    held = settle(_shared(lines, copied).groupBy("c").agg(F.count(F.lit(1)).alias("_m")))
     free_shuffles()
-    # The side that is built is the smaller by far; the other need not be sorted.
-    held = settle(single.join(common.hint("shuffle_hash"), "t").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("_m")))
     enough = F.col("_m") >= F.floor(F.col("n") / 25) + 1
     first = settle(lines.select(*PLACE, "c", "n").join(held, "c").where(enough).groupBy("c").agg(F.min(F.struct(*PLACE)).alias("p")))
-    release(held, common)
+    release(held)
     return first
 
 
@@ -210,14 +235,15 @@ def _matched(keys: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _repeats(lines: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     lines = lines.where("n > 0")
-    first = _survivors(lines)
+    copied = _copied(lines)
+    first = _survivors(lines, copied)
     free_shuffles()
     keys, sets = _keys(_sets(docs, key, lines, first))
     matched = _matched(keys, sets)
-    place = F.struct(*PLACE)
-    classes = lines.groupBy("c", "c2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    known = classes.join(matched.withColumn("_hit", F.lit(True)), "c", "left").where("_n > 1 or _hit")
-    gone = lines.select(*PLACE, "c", "c2").join(settle(known), ["c", "c2"]).where(F.col("_hit") | (place != F.col("_first")))
+    known = copied.join(matched.withColumn("_hit", F.lit(True)), "c", "full_outer")
+    known = settle(known.select("c", F.col("c2").alias("_c2"), "_first", F.coalesce("_hit", F.lit(False)).alias("_hit")))
+    copy = (F.col("c2") == F.col("_c2")) & (F.struct(*PLACE) != F.col("_first"))
+    gone = lines.select(*PLACE, "c", "c2").join(known, "c").where(F.col("_hit") | copy)
     return settle(gone.groupBy("k", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 

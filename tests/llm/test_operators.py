@@ -330,6 +330,21 @@ def test_line_dedup_similarity(spark):
     assert {r["doc_id"] for r in line_dedup.report(df).where("n_removed > 0").collect()} == want
 
 
+def test_line_dedup_many_copies(spark):
+    """Tokens at the heads are dealt out once for both sides of their join, and a class of many copies takes part by its first place."""
+    rnd = random.Random(3)
+    base = [f"m{i}" for i in range(40)]
+    texts = [" ".join(base)] * 90 + [" ".join([*base[:39], f"u{i}"]) for i in range(5)] + [" ".join(f"r{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = line_dedup.settle(line_dedup._lines(df, "doc_id"))
+    shared = line_dedup._shared(lines, line_dedup._copied(lines))
+    heads = {r["c"]: set(r["head"]) for r in lines.collect()}
+    assert {tuple(r) for r in shared.collect()} == {(c, t) for c in heads for t in heads[c] if any(t in heads[o] for o in heads if o != c)}
+    assert "ReusedExchange" in shared._jdf.queryExecution().executedPlan().toString()
+    want = {k for (k, _), gone in removed_lines(set(enumerate(texts))).items() if gone}
+    assert {r["doc_id"] for r in line_dedup.report(df).where("n_removed > 0").collect()} == want == set(range(1, 95))
+
+
 @pytest.mark.parametrize("which", ["odd", "docs", "none"])
 def test_brown(request, which):
     df = request.getfixturevalue(which)
