@@ -52,6 +52,8 @@ ALPHA, KAPPA = 0.5, 20.0
 FOLDS, HELD = 7, 2
 #: Words exchanged one after the other; blocks run in parallel.
 BLOCK = 1024
+#: Of settled tables that grow with the corpus: word numbers are mostly small, which entropy coding makes use of.
+PACKED = "zstd"
 #: Rare tokens in a group of step 4.
 GROUP = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -446,7 +448,7 @@ def score(docs: DataFrame, key: str = "doc_id", known: int = KNOWN, core: int =
     core = min(core, k)
     classes = max(1, min(classes, core))
     end, states = classes + shapes, classes + shapes + 1
-    coded = settle(rows.mapInArrow(_number(words), "key long, held_out boolean, ids binary, rare array<binary>").withColumn("_row", F.monotonically_increasing_id()))
+    coded = settle(rows.mapInArrow(_number(words), "key long, held_out boolean, ids binary, rare array<binary>").withColumn("_row", F.monotonically_increasing_id()), PACKED)
     train = coded.where(~F.col("held_out")).select("ids")
     member, _ = cluster(train, k, core, classes, sweeps) if k else (np.zeros(0, dtype=np.int64), 0)
     cls = np.where(member >= 0, member, [classes + shape_of(w, shapes) for w in words]) if k else member
@@ -455,18 +457,18 @@ def score(docs: DataFrame, key: str = "doc_id", known: int = KNOWN, core: int =
     table = np.concatenate([cls, [0, end]]).astype(np.int64)  # the place before the last is filled from the lists
     t = _collected(train.select("ids"), np.concatenate([cls, [end - 1, end]]).astype(np.int64), states)
     near = [t[:classes, :classes], t[:classes, end], t[end, :classes]]
-    tokens = settle(coded.select("_row", "held_out", "ids", "rare").mapInArrow(_rare_tokens(np.where(cls < classes, cls, -1), classes), "_row long, j int, word binary, left int, right int, held_out boolean"))
+    tokens = settle(coded.select("_row", "held_out", "ids", "rare").mapInArrow(_rare_tokens(np.where(cls < classes, cls, -1), classes), "_row long, j int, word binary, left int, right int, held_out boolean"), PACKED)
     groups = max(1, -(-tokens.where(~F.col("held_out")).count() // GROUP))
     seen = tokens.where(~F.col("held_out") & F.col("word").isNotNull()).select("word", "left", "right", F.pmod(F.xxhash64("word"), F.lit(groups)).alias("g"))
     rare = settle(seen.groupBy("g").applyInPandas(_classes_of_rare(*near, classes, shapes), "word binary, n long, cls int"))
     free_shuffles()
     shape = (F.lit(classes) + F.crc32(F.expr("substring(word, -2, 2)")) % shapes).cast("int")
     lists = tokens.select("_row", "j", "word").join(rare, "word", "left").select("_row", F.struct("j", F.coalesce("cls", shape).alias("cls"), F.coalesce("n", F.lit(0)).cast("long").alias("n")).alias("x"))
-    lists = settle(lists.groupBy("_row").agg(F.array_sort(F.collect_list("x")).alias("x")))
+    lists = settle(lists.groupBy("_row").agg(F.array_sort(F.collect_list("x")).alias("x")), PACKED)
     release(tokens)
     free_shuffles()
     empty = lambda kind: F.array().cast(f"array<{kind}>")
-    coded2 = settle(coded.drop("rare").join(lists, "_row", "left").select("key", "held_out", "ids", F.coalesce("x.cls", empty("int")).alias("rare_cls"), F.coalesce("x.n", empty("long")).alias("rare_n")))
+    coded2 = settle(coded.drop("rare").join(lists, "_row", "left").select("key", "held_out", "ids", F.coalesce("x.cls", empty("int")).alias("rare_cls"), F.coalesce("x.n", empty("long")).alias("rare_n")), PACKED)
     types = np.bincount(cls, minlength=states).astype(np.float64) if k else np.zeros(states)
     for c, m in rare.groupBy("cls").agg(F.count(F.lit(1))).collect():  # one row for each class
         types[c] += m

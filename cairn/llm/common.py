@@ -30,7 +30,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder and read it again.
 
     The files survive the loss of any executor and are removed when the session's
@@ -38,7 +38,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/cairn-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _scratch.append((spark, path))
     again = spark.read.schema(df.schema).parquet(path)
     again._cairn_path = path

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -365,6 +366,21 @@ def test_brown_beats_the_base_on_held_out_texts(spark, docs):
     assert got[0] > got[1]
 
 
+def test_brown_settles_packed_word_numbers(docs, monkeypatch):
+    settle, packed = brown.settle, []
+
+    def spy(df, *how):
+        out = settle(df, *how)
+        if "ids" in out.columns:
+            path = out._cairn_path.removeprefix("file://")
+            packed.append((sum(e.stat().st_size for e in os.scandir(path) if e.name.endswith(".parquet")), out.agg(F.sum(F.length("ids") / 4)).first()[0]))
+        return out
+
+    monkeypatch.setattr(brown, "settle", spy)
+    brown.score(docs, core=100, classes=8, shapes=4, sweeps=0)
+    assert len(packed) == 2 and all(size < 2 * words for size, words in packed), packed
+
+
 def test_brown_score_is_the_model_counted_plainly(spark, docs):
     """Every class taken as given, the probabilities are recomputed from plain counts."""
     seen = {}
