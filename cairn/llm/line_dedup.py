@@ -160,17 +160,20 @@ def _parity(part: int):
 def _keys(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(t, c, n, i, p, own, x0..x3): the shared tokens of every prefix in the order of rarity, with their positions; and the sets of these classes."""
     single = sets.select("c", F.size("s").alias("n"), F.explode("s").alias("t"))
-    shared = settle(single.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    free_shuffles()
+    tokens = sets.agg(F.sum(F.size("s"))).first()[0] or 0
+    # One exchange serves the counts and the tokens they join: _all has them read every column, else the optimiser sends a narrower table for them.
+    dealt = single.repartition(tokens // TOKENS + 1, "t").withColumn("_at", F.spark_partition_id())
+    counts = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("c").bitwiseXOR(F.col("n") + F.col("_at"))).alias("_all"))
+    shared = counts.where("df > 1 AND _all IS NOT NULL").select("t", "df")
     line = Window.partitionBy("c")  # one line's tokens
-    held = single.join(shared.hint("shuffle_hash"), "t").withColumn("m", F.count(F.lit(1)).over(line.orderBy("df", "t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    held = dealt.where("_at >= 0").drop("_at").join(shared.hint("shuffle_hash"), "t").withColumn("m", F.count(F.lit(1)).over(line.orderBy("df", "t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     held = settle(held.withColumn("r", F.row_number().over(line.orderBy("df", "t"))).where(F.col("m") >= _needed(F.col("n"))).select("c", "n", "m", "t", "r"))
     free_shuffles()
     marks = held.groupBy("c").agg(*[_parity(j).alias(f"x{j}") for j in range(4)])
     left = settle(sets.join(marks, "c"))
     keys = held.where(F.col("r") <= F.col("m") - _needed(F.col("n")) + 1).select("t", "c", "n", (F.col("n") - F.col("m") + F.col("r") - 1).alias("i"), (F.col("n") - F.col("m")).alias("own"))
     keys = settle(keys.join(left.drop("s"), "c"))
-    release(held, shared)
+    release(held)
     free_shuffles()
     return keys, left.select("c", "s")
 

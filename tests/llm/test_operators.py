@@ -331,6 +331,23 @@ def test_line_dedup_similarity(spark):
     assert {r["doc_id"] for r in line_dedup.report(df).where("n_removed > 0").collect()} == want
 
 
+def test_line_dedup_counts_tokens_over_the_exchange_of_their_join(spark, docs, monkeypatch):
+    settle, plans = line_dedup.settle, []
+
+    def spy(df):
+        if {"m", "r"} <= set(df.columns):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(line_dedup, "settle", spy)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else a plan shows what it reuses at its end only
+    try:
+        line_dedup.report(docs).count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(plans) == 1 and "ReusedExchange" in plans[0]
+
+
 def test_line_dedup_many_copies(spark):
     """Tokens at the heads are dealt out once for both sides of their join, and a class of many copies takes part by its first place."""
     rnd = random.Random(3)
